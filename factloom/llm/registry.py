@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import quality
+from . import bpe, language, packing, quality, substrings, toxicity
 
 
 def queries() -> dict[str, Callable]:
-    return {"op10_quality_rules": quality.op10_quality_rules}
+    return {
+        "op3_substring_dedup": substrings.op3_substring_dedup,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_packing": packing.op6_packing,
+        "op7_language_id": language.op7_language_id,
+        "op10_quality_rules": quality.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.SQL}
+    return {"op3_substring_dedup": substrings.SQL, "op10_quality_rules": quality.SQL}
