@@ -35,10 +35,10 @@ class Rule:
 
 #: The verdict of the method: length, symbol, stop-word and line ratios.
 RULES = (
-    Rule("mean_word_length", "1.0D * word_chars / n_words", 2.0, 25.0),
-    Rule("symbol_ratio", "1.0D * n_symbols / n_words", None, 0.5),
-    Rule("stop_word_ratio", "1.0D * stop_words / n_words", 0.01, None),
-    Rule("duplicate_lines", "1.0D * n_dup_lines / n_word_lines", None, 0.7),
+    Rule("mean_word_length", "try_divide(1.0D * word_chars, n_words)", 2.0, 25.0),
+    Rule("symbol_ratio", "try_divide(1.0D * n_symbols, n_words)", None, 0.5),
+    Rule("stop_word_ratio", "try_divide(1.0D * stop_words, n_words)", 0.01, None),
+    Rule("duplicate_lines", "try_divide(1.0D * n_dup_lines, n_word_lines)", None, 0.7),
 )
 
 
