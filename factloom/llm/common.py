@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(batches, text: str = "text", limit: int = 4 << 20):
+    """Record batches cut to about `limit` bytes of text, one row at least."""
+    for b in batches:
+        t = b.column(text)
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(t), 0), np.int64)) if b.num_rows else np.zeros(0)
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + limit, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def fold(df: DataFrame, every: int) -> DataFrame:
     """held_out column's remainder: crc32 of doc_id as text modulo `every`."""
     return F.crc32(F.col("doc_id").cast("string")) % every
