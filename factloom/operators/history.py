@@ -51,7 +51,7 @@ def owners(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     rules: (ordinal, pattern, owners) with Java patterns; a file of rules, so it is broadcast.
     """
     each = paths.select(path).distinct()
-    hit = each.join(F.broadcast(rules), F.col(path).rlike(F.col("pattern")), "left").groupBy(path).agg(F.max_by("owners", "ordinal").alias("owners"))
+    hit = each.join(F.broadcast(rules), F.rlike(F.col(path), F.col("pattern")), "left").groupBy(path).agg(F.max_by("owners", "ordinal").alias("owners"))
     some = F.when(F.size(F.coalesce("owners", F.array().cast("array<string>"))) > 0, F.col("owners")).otherwise(F.array(F.lit("(unowned)")))
     return hit.select(path, F.explode(some).alias("owner"))
 

@@ -35,7 +35,7 @@ def confidence(explicit: Column, opt_in: Column, severity: Column) -> Column:
 
 def override_settings(files: DataFrame, overrides: DataFrame) -> DataFrame:
     """(path, id, setting): the last override whose pattern holds the path. overrides: (ordinal, pattern, id, setting), a config."""
-    return files.select("path").join(F.broadcast(overrides), F.col("path").rlike(F.col("pattern"))).groupBy("path", "id").agg(F.max_by("setting", "ordinal").alias("setting"))
+    return files.select("path").join(F.broadcast(overrides), F.rlike(F.col("path"), F.col("pattern"))).groupBy("path", "id").agg(F.max_by("setting", "ordinal").alias("setting"))
 
 
 def apply_overrides(findings: DataFrame, settings: DataFrame) -> DataFrame:

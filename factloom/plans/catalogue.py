@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
 from factloom.operators import delta, findings, graph, history, rulekit, scoring, selection, suggest
+from factloom.sources import javascript
 from factloom.streaming import incremental
 
 REGISTRY: dict[str, tuple[Callable, str]] = {}
@@ -412,6 +413,14 @@ def q40(spark, d):
     return delta.resolved_history(c, b)
 
 
+@query("q41_script_calls", r"""SELECT page_id, 'track' AS name, x AS arg FROM (SELECT page_id, unnest(regexp_extract_all(html, 'track\((\d+)\)', 1)) AS x FROM pages)""")
+def q41(spark, d):
+    """Inline scripts of pages through the code-fact extractor: calls with their first argument."""
+    script = F.regexp_extract_all("html", F.lit(r"(?s)<script>(.*?)</script>"), F.lit(1))
+    texts = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.array_join(script, "\n;").alias("text"))
+    return javascript.facts(texts).filter("kind = 'call'").select(F.col("file").cast("long").alias("page_id"), "name", F.get("args", F.lit(0)).alias("arg"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in REGISTRY.items()}
 
