@@ -24,19 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, parallelism, stored, table
+from .common import components, cut, parallelism, pieces, stored, table
 from .textops import BYTES, Rolling, Texts, min_labels, mix, ranges
 
 U64 = np.uint64
 WORDS, THRESHOLD = 5, 0.8
-FAN, DEPTH, LIMIT = 2, 3, 256
+FAN, DEPTH, LIMIT = 2, 2, 256
 RECALL = 0.9999
 MISS = 0.05
-"""A run's chance to lose a pair at the threshold: the sum over levels of no shared token among the FAN lowest, 0.024 at
-one level for sets of equal size, times the levels that are used in most cases, rounded up."""
+"""A run's chance to lose a pair at the threshold: at each of DEPTH levels 0.024 for no shared token among the FAN lowest
+of sets of equal size, rounded up."""
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(MISS))
 BINS = 128
-TILE = 512
+TILE = 1024
 ROLL, ROLL2 = Rolling(808, 0), Rolling(909, 0)
 
 
@@ -115,7 +115,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """Per row with a doc_id and a word: size, a 128-bit key of the set, the nodes it visits, its sketch."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             t = Texts(b.column("text"))
             tokens, first = shingles(t)
             some = np.flatnonzero(np.diff(first) > 0)
@@ -173,31 +173,27 @@ def brute_force(rows: pa.Table) -> pa.Table:
 def families(classes: DataFrame) -> DataFrame:
     """(node doc_id, component) of classes that have a sketch link, by the join's runs."""
     width = FAN * (FAN**DEPTH - 1) // (FAN - 1)
-    at = {}
-    k = 0
+    shards = 4 * parallelism(classes.sparkSession)
+    reps, nodes, edges = classes.select("doc_id", "n", "sketch"), classes.select("doc_id", "nodes"), []
+    # a row is a visit: run r, place p in the level; children of p are p * FAN, p * FAN + 1, ... of the next level
+    visits = [F.struct(F.lit(r).alias("r"), F.lit(p).alias("p"), F.col("nodes")[r * width + p].alias("node")) for r in range(RUNS) for p in range(FAN)]
+    each = nodes.select("doc_id", F.explode(F.array(*visits)).alias("x")).select("doc_id", "x.*")
+    start = 0
     for level in range(DEPTH):
-        at[level] = range(k, k + FAN ** (level + 1))
-        k += FAN ** (level + 1)
-    # positions: parents of the nodes of a level, in the order of `paths`
-    edges, open_nodes = [], None
-    reps = classes.select("doc_id", "n", "sketch", "nodes")
-    for level in range(DEPTH):
-        pairs = [(r * width + p, r * width + at[level - 1][(p - at[level][0]) // FAN] if level else -1) for r in range(RUNS) for p in at[level]]
-        each = reps.select("doc_id", F.explode(F.array(*[F.struct(F.col("nodes")[c].alias("node"), (F.col("nodes")[q] if q >= 0 else F.lit(None).cast("long")).alias("parent")) for c, q in pairs])).alias("x")).select("doc_id", "x.*")
-        if open_nodes is not None:
-            each = each.join(open_nodes.select(F.col("node").alias("parent")), "parent", "left_semi")
-        each = each.select("doc_id", "node").distinct()
         counts = cut(each.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1"))
-        small = each.join(counts.filter(F.col("m") <= LIMIT).select("node"), "node").join(reps.select("doc_id", "n", "sketch"), "doc_id")
-        shards = 4 * parallelism(classes.sparkSession)
+        small = each.join(counts.filter(F.col("m") <= LIMIT).select("node"), "node").select("doc_id", "node").join(reps, "doc_id")
         edges.append(small.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(shards))).groupBy("_s").applyInArrow(brute_force, "u long, v long"))
-        open_nodes = counts.filter(F.col("m") > LIMIT)
-        if level < DEPTH - 1 and open_nodes.isEmpty():
+        large = counts.filter(F.col("m") > LIMIT)
+        if large.isEmpty():
+            break
+        still = each.join(large.select("node"), "node")
+        if level + 1 == DEPTH:  # one family, without comparison
+            least = still.groupBy("node").agg(F.min("doc_id").alias("v"))
+            edges.append(still.join(least, "node").select(F.col("doc_id").alias("u"), "v"))
             break
-    else:
-        large = each.join(open_nodes.select("node"), "node")
-        least = large.groupBy("node").agg(F.min("doc_id").alias("v"))
-        edges.append(large.join(least, "node").select(F.col("doc_id").alias("u"), "v"))
+        start += FAN ** (level + 1)
+        below = F.array(*[F.struct("r", (F.col("p") * FAN + k).alias("p")) for k in range(FAN)])
+        each = cut(still.select("doc_id", F.explode(below).alias("x")).select("doc_id", "x.*").join(nodes, "doc_id").select("doc_id", "r", "p", F.element_at("nodes", F.col("r") * width + start + F.col("p") + 1).alias("node")))
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -262,6 +258,7 @@ def join(docs: DataFrame) -> DataFrame:
     members = sets.select("doc_id", "k1", "k2").join(keys, ["k1", "k2"]).select("doc_id", "rep", "mult")
     # one row of each class: repeated rows of the smallest doc_id are the same set
     classes = sets.join(keys.select(F.col("rep").alias("doc_id"), "k1", "k2", "mult"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    classes = stored(classes.select("doc_id", "n", "nodes", "sketch"), "jaccard-classes")
     family = cut(families(classes))
     sizes = family.groupBy("component").agg(F.count("*").alias("m"))
     shards = 4 * parallelism(docs.sparkSession)
