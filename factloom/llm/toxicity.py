@@ -16,13 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, pieces, table
 from .textops import LOWER, Rolling, Texts
 
-POSITIVES, NEGATIVES = 3000, 5000
+POSITIVES, NEGATIVES = 1500, 3000
 BITS = 18
 BEGIN = 6
 """Bytes of a word's beginning that make a second feature."""
@@ -87,13 +87,13 @@ class ToxicityModel:
 def train(word, begin, sentence, owner, label: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     """Adam on the weighted logistic loss of the noisy-or."""
     w = np.zeros(2 << BITS)
-    _, once = np.unique(sentence << BITS | word, return_index=True)
-    word, begin, sentence = word[once], begin[once], sentence[once]
     both = np.concatenate([word, begin])
-    pairs = np.unique(both * len(label) + np.tile(owner[sentence], 2))
+    pairs = np.unique(both.astype(np.int64) * len(label) + np.tile(owner[sentence], 2))
     enough = np.bincount(pairs // len(label), minlength=2 << BITS) >= LEAST
-    used, both = np.unique(both, return_inverse=True)
-    first, second = both[: len(word)], both[len(word) :]
+    del pairs
+    used = np.unique(both)
+    first, second = np.searchsorted(used, word).astype(np.int32), np.searchsorted(used, begin).astype(np.int32)
+    del both
     v, n, docs = np.zeros(len(used)), len(owner), len(label)
     bias, m, s, mb, sb = -5.0, np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     weight = weight / weight.sum()
@@ -120,14 +120,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     counts = {int(r.toxic): r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return ToxicityModel(None, 0.0)
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = F.when(F.col("toxic") == 1, POSITIVES).otherwise(NEGATIVES)
-    chosen = known.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(POSITIVES, NEGATIVES)).filter(F.col("_n") <= most).select("doc_id", "toxic")
+    def first(toxic: int, n: int) -> DataFrame:
+        return known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+    chosen = F.broadcast(first(1, POSITIVES).union(first(0, NEGATIVES)))  # no more rows than the sample has
 
     def rows(batches):
-        for b in batches:
+        for b in pieces(batches):
             t = Texts(b.column("text"))
             word, begin, sentence, owner = features(t)
+            _, once = np.unique(sentence << BITS | word, return_index=True)
+            word, begin, sentence = word[once], begin[once], sentence[once]
             cuts = np.searchsorted(owner[sentence], np.arange(len(t) + 1))
             own = [np.stack([word[i:j], begin[i:j], sentence[i:j]]).astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(own, pa.binary())], ["doc_id", "toxic", "f"])
@@ -136,12 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     sample.sort(key=lambda r: r.doc_id)
     label = np.array([r.toxic for r in sample])
     parts = [np.frombuffer(r.f, np.int32).reshape(3, -1) for r in sample]
-    word, begin = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (0, 1))
+    del sample
+    word, begin = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     sentence, owner, done = [], [], 0
     for d, p in enumerate(parts):
         if p.shape[1]:
-            own = p[2].astype(np.int64) - int(p[2][0])
-            sentence.append(own + done)
+            own = p[2] - int(p[2][0])
+            sentence.append((own + done).astype(np.int32))
             owner.append(np.full(own[-1] + 1, d))
             done += int(own[-1]) + 1
     if len(set(label.tolist())) < 2 or not sentence:
@@ -156,7 +160,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     keep = [f for f in docs.schema if f.name.lower() != "score"]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             s = shared.value.score(Texts(b.column(text)))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(s, pa.float64())], [*(f.name for f in keep), "score"])
 
@@ -168,7 +172,7 @@ def locate(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             z, owner = shared.value.sentences(Texts(b.column(text)))
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             at = np.arange(len(owner)) - np.searchsorted(owner, owner)
