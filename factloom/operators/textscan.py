@@ -70,18 +70,25 @@ def line_findings(texts: DataFrame, rules: tuple[TextRule, ...], path: str = "pa
         if r.file_gate:
             gate = gate & F.col(text).rlike(r.file_gate)
 
-        def hit(x: Column, r=r) -> Column:
-            test = x.rlike(r.pattern)
-            return test & ~x.rlike(r.unless) if r.unless else test
-
-        found = F.filter(F.transform(F.split(text, "\n"), _with_number), lambda s, hit=hit: hit(s["evidence"]))
+        found = F.filter("_lines", _tester(r))
         if r.first_only:
             found = F.slice(found, 1, 1)
-        fixed = [F.lit(v).alias(k) for k, v in (("diagnostic", r.id), ("title", r.title), ("category", r.category), ("severity", r.severity), ("message", r.message))]
-        pattern = r.pattern
-        made = F.transform(found, lambda s, fixed=fixed, pattern=pattern: F.struct(*fixed, s["line"].alias("line"), F.greatest(F.regexp_instr(s["evidence"], F.lit(pattern)), F.lit(1)).alias("col"), s["evidence"].alias("evidence")))
+        made = F.transform(found, _maker(r))
         hits.append(F.when(gate, made).otherwise(F.array().cast("array<struct<diagnostic:string,title:string,category:string,severity:string,message:string,line:int,col:int,evidence:string>>")))
-    return texts.select(path, F.explode(F.flatten(F.array(*hits))).alias("x")).select(path, "x.*")
+    lines = texts.select(path, text, F.transform(F.split(text, "\n"), _with_number).alias("_lines"))
+    return lines.select(path, F.explode(F.flatten(F.array(*hits))).alias("x")).select(path, "x.*")
+
+
+def _tester(r: TextRule):
+    """Lambdas of higher-order functions take their arity from the signature, so what they close over comes from here."""
+    if r.unless:
+        return lambda s: s["evidence"].rlike(r.pattern) & ~s["evidence"].rlike(r.unless)
+    return lambda s: s["evidence"].rlike(r.pattern)
+
+
+def _maker(r: TextRule):
+    fixed = [F.lit(v).alias(k) for k, v in (("diagnostic", r.id), ("title", r.title), ("category", r.category), ("severity", r.severity), ("message", r.message))]
+    return lambda s: F.struct(*fixed, s["line"].alias("line"), F.greatest(F.regexp_instr(s["evidence"], F.lit(r.pattern)), F.lit(1)).alias("col"), s["evidence"].alias("evidence"))
 
 
 def _with_number(x: Column, i: Column) -> Column:

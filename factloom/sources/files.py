@@ -17,7 +17,8 @@ EXTENSIONS = ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts")
 
 
 def read_tree(spark: SparkSession, root: str, globs: list[str] | None = None, ignored: list[str] | None = None, dotfiles: bool = False) -> DataFrame:
-    """files(path, norm_path, text, n_lines) below root. Names are filtered before contents are decoded."""
+    """files(path, norm_path, text, n_lines) below root. Names are filtered before contents are decoded; the reader leaves
+    out files of length zero."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"/+$", "", root.split(":", 1)[-1] if root.startswith("file:") else root)
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(re.sub("^/*", "/", base)) + "/", "")

@@ -100,6 +100,10 @@ class Source:
     def x(self, i: int) -> str:
         return self.t[i][1] if 0 <= i < len(self.t) else ""
 
+    def names(self, i: int) -> bool:
+        """Can the token at i be the last part of a callee? A keyword can after a dot."""
+        return self.t[i][0] == "ident" and (self.x(i) not in KEYWORDS - {"import", "super"} or self.x(i - 1) in (".", "?."))
+
     def place(self, i: int) -> tuple[int, int]:
         at = self.t[i][2]
         line = bisect.bisect_right(self.lines, at)
@@ -284,11 +288,11 @@ def facts_of(file: str, text: str) -> list[dict]:
                 names = [s.x(q) for q in range(i + 1, j) if s.t[q][0] == "ident" and s.x(q) not in ("from", "as", "type")]
                 add("import", i, j, name=unquoted(s.x(j)), args=names, value="type" if s.x(i + 1) == "type" else "namespace" if s.x(i + 1) == "*" else "esm")
                 i = j
-        elif x == "(" and k == "punct" and i and (s.t[i - 1][0] == "ident" and s.x(i - 1) not in KEYWORDS - {"import", "super"} or s.x(i - 1) in (")", "]")) and not any(f["start"] in (i - 1, i) and f["lo"] > i for f in s.functions):
+        elif x == "(" and k == "punct" and i and (s.names(i - 1) or s.x(i - 1) in (")", "]")) and not any(f["start"] in (i - 1, i) and f["lo"] > i for f in s.functions):
             j = i - 1
             chain: list[str] = []
             while True:
-                if s.t[j][0] == "ident" and s.x(j) not in KEYWORDS - {"import", "super"}:
+                if s.names(j):
                     chain.append(s.x(j))
                     if s.x(j - 1) in (".", "?."):
                         j -= 2

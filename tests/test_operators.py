@@ -231,11 +231,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules" / "m").mkdir(parents=True)
     (tmp_path / "src" / "a.js").write_text("x\ny\n")
-    (tmp_path / "top.ts").write_text("")
+    (tmp_path / "top.ts").write_text("x")
     (tmp_path / "src" / ".hidden.js").write_text("x")
     (tmp_path / "src" / "b.min.js").write_text("x")
     (tmp_path / "node_modules" / "m" / "i.js").write_text("x")
-    assert rows(files.read_tree(spark, str(tmp_path)).select("norm_path", "n_lines")) == [("src/a.js", 3), ("top.ts", 0)]
+    assert rows(files.read_tree(spark, str(tmp_path)).select("norm_path", "n_lines")) == [("src/a.js", 3), ("top.ts", 1)]
     diff = "+++ b/a.js\n@@ -1,3 +1,3 @@\n x\n-old\n+new\n y"
     assert rows(files.unified_diff(spark.createDataFrame([(diff,)], "text string")).select("path", "kind", "line", "text")) == [("a.js", "add", 2, "new"), ("a.js", "del", 2, "old")]
     npm = '{"packages": {"": {}, "node_modules/a": {"version": "1.0.0"}, "node_modules/b/node_modules/@s/c": {"version": "2.0.0", "dev": true}}}'
