@@ -33,7 +33,7 @@ from .common import table
 from .textops import Rolling, Texts, mix, ranges
 
 U64 = np.uint64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 """Distinct words whose encodings a worker keeps; beyond it the cache starts anew."""
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import parallelism, small_batches
 from .textops import NO_DOC, Texts
 
 BATCH_BYTES = 3 << 20
@@ -30,6 +30,7 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 def batched(docs: DataFrame, total: int) -> DataFrame:
     """docs with their batch _b, dealt out by it; total is the number of text bytes."""
+    small_batches(docs.sparkSession)
     batches = max(total // BATCH_BYTES, 1)
     tasks = max(parallelism(docs.sparkSession), 1)
     return docs.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).repartition(int(min(tasks, max(batches, 1))), "_b")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, parallelism, pieces, stored, table
+from .common import components, cut, parallelism, pieces, small_batches, stored, table
 from .textops import BYTES, Rolling, Texts, min_labels, mix, ranges
 
 U64 = np.uint64
@@ -253,6 +253,7 @@ def exact_pairs(rows: pa.Table) -> pa.Table:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id that links reach), n_links (other rows with a similarity of the threshold or more)."""
+    small_batches(docs.sparkSession)
     sets = stored(sets_of(docs), "jaccard-sets")
     keys = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
     members = sets.select("doc_id", "k1", "k2").join(keys, ["k1", "k2"]).select("doc_id", "rep", "mult")

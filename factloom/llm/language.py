@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, pieces, small_batches, table
 from .textops import LOWER, Texts
 
 BITS = 13
@@ -29,6 +29,8 @@ DIM = 1 << BITS
 SAMPLE = 400
 LANDMARKS = 48
 """Per language: labelled rows of the fit, and those of them that are landmarks."""
+LANGUAGES = 500
+"""Languages that are learned, the most frequent first; with SAMPLE it bounds the sample."""
 RIDGE = 0.05
 SHARPNESS = 4.0
 BLOCK = 1 << 20
@@ -128,15 +130,18 @@ def solve(names: list[str], labels: np.ndarray, rows: np.ndarray) -> LanguageMod
 def fit(docs: DataFrame) -> LanguageModel:
     """Fit on text and lang of docs (doc_id, text, lang); rows with a null lang or doc_id do not count."""
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SAMPLE)
+    small_batches(docs.sparkSession)
+    labelled = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang")
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    chosen = labelled.join(F.broadcast(known.select("lang")), "lang", "left_semi").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SAMPLE)
 
     def rows(batches):
-        for b in batches:
+        for b in pieces(batches):
             t = Texts(b.column("text"))
             bits = [np.packbits(presence(t, k, k + 1)[0]).tobytes() for k in range(len(t))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(bits, pa.binary())], ["doc_id", "lang", "bits"])
 
-    sample = docs.select("doc_id", "text").join(chosen.select("doc_id", "lang"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(rows, "doc_id long, lang string, bits binary").collect()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang")), "doc_id").mapInArrow(rows, "doc_id long, lang string, bits binary").dropDuplicates(["doc_id"]).collect()
     sample.sort(key=lambda r: (r.lang, r.doc_id))
     names = sorted({r.lang for r in sample})
     if not names:
@@ -147,11 +152,12 @@ def fit(docs: DataFrame) -> LanguageModel:
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [f for f in docs.schema if f.name.lower() not in ("lang_pred", "score")]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text):
             names, score = shared.value.classify(Texts(b.column(text)))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in keep), "lang_pred", "score"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, automaton, blocks
-from .common import stored, table
+from .common import pieces, small_batches, stored, table
 
 WINDOW = 1024
 SHARD = 1024
@@ -53,7 +53,7 @@ def encoded(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFrame:
     def run(batches):
         own = _encoder(path)
         df = np.zeros(vocabulary, np.int64)
-        for b in batches:
+        for b in pieces(batches):
             texts = ["" if x is None else x for x in b.column("text").to_pylist()]
             for i, j in blocks(texts):
                 flat, first = own.ids(texts[i:j])
@@ -167,6 +167,7 @@ NAMES = [x.split()[0] for x in OUT.split(", ")]
 def pack(docs: DataFrame, path: str, end: int = 0, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """One row per piece of every document of docs (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     vocabulary = max(automaton(path).label) + 1
     kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     parts = stored(encoded(docs, path, end, vocabulary), "packing")

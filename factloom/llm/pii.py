@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, table
+from .common import pieces, small_batches, stored, table
 from .textops import LOWER, Rolling, Texts
 
 U64 = np.uint64
@@ -196,6 +196,7 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def with_spans(docs: DataFrame, body, schema: str) -> DataFrame:
     """body(record batch, list of spans for each row) -> record batch, over docs with the columns it had."""
+    small_batches(docs.sparkSession)
     found = stored(occurrences(docs), "pii-found")
     known = disclosing(docs, found)
     hints = found.filter("doc_id is not null").select("doc_id", "entity").distinct().join(known, "entity").groupBy("doc_id").agg(F.collect_set(F.struct("entity", "term")).alias("_hints"))

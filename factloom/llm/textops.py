@@ -7,9 +7,17 @@ Words are maximal runs without the six ASCII white-space bytes, as the contracts
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+with contextlib.suppress(OSError, AttributeError):  # glibc: give large arrays back to the system when they are freed
+    _libc = ctypes.CDLL("libc.so.6")
+    for _what, _value in ((-3, 1 << 18), (-1, 1 << 20), (-8, 2)):  # map threshold, trim threshold, arenas
+        _libc.mallopt(_what, _value)
+
 U64 = np.uint64
 WORD_SEP = np.zeros(256, bool)
 WORD_SEP[[0x20, 9, 10, 11, 12, 13]] = True
