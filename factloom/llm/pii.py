@@ -3,11 +3,12 @@
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers by fixed patterns. The method then asks
 the corpus which words reveal a found entity: with documents as events, a term t near an entity e has the disclosure
 PMI(t; e) / IC(e) = log(n_te N / (n_t n_e)) / log(N / n_e), which is 1 if t only occurs with e. Counts cover all
-documents: n_t by a pass over all texts, n_te and n_e from all occurrences, where equal lines count once, so that copies
-of one text do not make evidence. Near e, terms of the DISCLOSURE threshold or more with SUPPORT different lines get
-spans of the kind `term`; `sanitise` replaces base spans by their kind and terms by a general word.
+documents, and all four are numbers of documents (rows): copies count on both sides of the fraction alike, and an entity
+of one document is assessed as any other. Near e, terms of the DISCLOSURE threshold or more get spans of the kind `term`;
+`sanitise` replaces base spans by their kind and terms by a general word. An entity that every document holds tells
+nothing (its IC is 0), and so discloses nothing.
 
-Defined cases: a null or empty text has no spans; ties cannot arise; repeated rows give repeated results (and one event);
+Defined cases: a null or empty text has no spans; ties cannot arise; repeated rows give repeated results (and count each);
 a null doc_id keeps its base spans; extra columns are ignored by `find`, kept by `sanitise`; an empty table gives an
 empty result; very long texts are read whole.
 """
@@ -29,7 +30,7 @@ U64 = np.uint64
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8
 """Words on either side, in the same line, that count as near."""
-SUPPORT, DISCLOSURE = 3, 0.9
+DISCLOSURE = 0.9
 FILTER_BITS = 1 << 23
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -126,11 +127,11 @@ def term_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return HASH.spans(data, starts, ends), np.searchsorted(texts.offsets, starts, "right") - 1
 
 
-OCCURRENCES = "doc_id long, entity long, line long, term long"
+OCCURRENCES = "doc_id long, entity long, term long"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per term near an entity; an entity without a near term has a null term."""
+    """For each document, its pairs of an entity and a term near it, and each entity once with a null term."""
 
     def run(batches):
         for b in pieces(batches):
@@ -140,11 +141,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for i in np.flatnonzero(sums[t.offsets[1:]] > sums[t.offsets[:-1]]).tolist():
                 text = b.column("text")[i].as_py()
                 doc = b.column("doc_id")[i].as_py()
+                pairs: set = set()
                 for kind, s, e in base_spans(text):
-                    entity, terms = entity_of(kind, text[s:e]), near_terms(text, s, e)
-                    line = signed(" ".join(w for w, _, _ in terms))
-                    rows += [(doc, entity, line, k) for k in {term_key(w) for w, _, _ in terms} or {None}]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], ["doc_id", "entity", "line", "term"])
+                    entity = entity_of(kind, text[s:e])
+                    pairs |= {(entity, None)} | {(entity, term_key(w)) for w, _, _ in near_terms(text, s, e)}
+                rows += [(doc, *p) for p in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], ["doc_id", "entity", "term"])
 
     return docs.select("doc_id", "text").mapInArrow(run, OCCURRENCES)
 
@@ -186,12 +188,11 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term) of terms that reveal an entity."""
     n = docs.count()
-    joint = found.filter("term is not null").groupBy("entity", "term").agg(F.countDistinct("line").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
-    joint = stored(joint, "pii-joint")
-    alone = found.groupBy("entity").agg(F.countDistinct("line").alias("n_e"))
+    joint = stored(found.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_te")), "pii-joint")
+    alone = found.filter("term is null").groupBy("entity").agg(F.count("*").alias("n_e"))
     counts = document_counts(docs, joint.select("term").distinct())
-    share = F.log(F.col("n_te") * n / (F.greatest("n_t", "n_te") * F.col("n_e"))) / F.log(F.lit(float(max(n, 2))) / F.col("n_e"))
-    return joint.join(alone, "entity").join(counts, "term").filter(share >= DISCLOSURE).select("entity", "term")
+    pmi = F.log(F.col("n_te") * float(n) / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    return joint.join(alone, "entity").join(counts, "term").filter((pmi > 0) & (pmi >= DISCLOSURE * F.log(F.lit(float(n)) / F.col("n_e")))).select("entity", "term")
 
 
 def with_spans(docs: DataFrame, body, schema: str) -> DataFrame:

@@ -277,6 +277,14 @@ def test_pii_terms_that_disclose(spark):
     assert all(text[i] == t for i, t in rows if i >= 100)
 
 
+def test_pii_terms_of_copies_and_of_single_documents(spark):
+    rows = [(i, "ask Zorblax at boss@corp.example") for i in range(40)] + [(50, "ask Quimby at solo@corp.example")]
+    rows += [(100 + i, f"plain text {chr(97 + i % 26) * 5} with ask and at") for i in range(200)]
+    text = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert {text[i] for i in [*range(40), 50]} == {"ask <WORD> at <EMAIL>"}
+    assert all(text[i] == t for i, t in rows if i >= 100)
+
+
 def test_quality(spark):
     rows = corpus(6)
     out = {(r.doc_id, r.n_words): r for r in quality.quality(frame(spark, rows)).collect()}
