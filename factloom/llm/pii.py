@@ -1,12 +1,17 @@
 """Operator 2, personal data: patterns, and terms that disclose a found entity.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers by fixed patterns. The method then asks
-the corpus which words reveal a found entity: with documents as events, a term t near an entity e has the disclosure
-PMI(t; e) / IC(e) = log(n_te N / (n_t n_e)) / log(N / n_e), which is 1 if t only occurs with e. Counts cover all
-documents, and all four are numbers of documents (rows): copies count on both sides of the fraction alike, and an entity
-of one document is assessed as any other. Near e, terms of the DISCLOSURE threshold or more get spans of the kind `term`;
-`sanitise` replaces base spans by their kind and terms by a general word. An entity that every document holds tells
-nothing (its IC is 0), and so discloses nothing.
+the corpus which words reveal a found entity: with documents as events, a term t and an entity e have the disclosure
+PMI(t; e) / IC(e) = log(n_te N / (n_t n_e)) / log(N / n_e), which is 1 if t only occurs with e. Terms are the words of
+the whole text without its base spans, and all four counts are numbers of documents (rows): copies count on both sides
+of the fraction alike, and an entity of one document is assessed as any other. Terms that reach the threshold DISCLOSURE
+with any entity get spans of the kind `term` wherever they occur, in documents without the entity as well; `sanitise`
+replaces base spans by their kind and terms by a general word. An entity that every document holds tells nothing (its IC
+is 0), and so discloses nothing.
+
+Pairs that cannot reach the threshold are left out when they are made: as n_te <= n_e, it takes n_t <= N^0.1 n_e^0.9,
+which tables of the most frequent terms and entities (FREQUENT at most) tell for most pairs. Pairs grow with the product
+of a document's entities and rare terms.
 
 Defined cases: a null or empty text has no spans; ties cannot arise; repeated rows give repeated results (and count each);
 a null doc_id keeps its base spans; extra columns are ignored by `find`, kept by `sanitise`; an empty table gives an
@@ -24,14 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, small_batches, stored, table
-from .textops import LOWER, Rolling, Texts
+from .textops import LOWER, Rolling, Texts, ranges
 
 U64 = np.uint64
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR = 8
-"""Words on either side, in the same line, that count as near."""
 DISCLOSURE = 0.9
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 25
+FREQUENT = 1 << 18
+PAIR_ROWS = 1 << 18
+"""Pairs of a record batch."""
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: No match begins inside a run of digits whose beginning failed, so starts there need not be tried.
@@ -40,6 +46,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
+NO_LETTERS = re.compile(r"[\W\d_]+")
 HASH = Rolling(1010)
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -99,23 +106,54 @@ def entity_of(kind: int, value: str) -> int:
     return signed(f"{KINDS[kind]}:{value.lower() if kind == 0 else re.sub('[^0-9.]' if kind == 1 else '[^0-9]', '', value)}")
 
 
-def near_terms(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """Words within NEAR words of a span, in its line."""
-    lo = max(text.rfind("\n", 0, start) + 1, start - 400)
-    hi = text.find("\n", end)
-    hi = min(len(text) if hi < 0 else hi, end + 400)
-    before = [(m.group(), m.start(), m.end()) for m in TERM.finditer(text, lo, start)][-NEAR:]
-    return before + [(m.group(), m.start(), m.end()) for m in TERM.finditer(text, end, hi)][:NEAR]
+def blanked(text: str, spans) -> str:
+    """text with blanks for its spans; it keeps its length."""
+    out, done = [], 0
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if b > done:
+            a = max(a, done)
+            out += [text[done:a], " " * (b - a)]
+            done = b
+    return "".join([*out, text[done:]])
+
+
+def rows_with_base(b: pa.RecordBatch) -> dict[int, tuple[str, list]]:
+    """For each row with base spans: its text and them."""
+    t = Texts(b.column("text"))
+    sums = np.concatenate([[0], np.cumsum(MARKS[t.data])])
+    out = {}
+    for i in np.flatnonzero(sums[t.offsets[1:]] > sums[t.offsets[:-1]]).tolist():
+        text = b.column("text")[i].as_py()
+        own = base_spans(text)
+        if own:
+            out[i] = (text, own)
+    return out
+
+
+def bare(text: str) -> str:
+    """A text whose runs of letter bytes are its words, in lower case."""
+    return text if text.isascii() else NO_LETTERS.sub(" ", text).lower()
 
 
-def term_key(word: str) -> int:
-    """The same hash as that of `term_hashes`, for one word."""
-    raw = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)
-    return int(HASH.spans(LOWER[raw], np.array([0]), np.array([len(raw)])).view(np.int64)[0])
+def distinct_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each term of each text (bare), and the position of the text; each once, by hash."""
+    h, owner = term_hashes(Texts(pa.array(texts, pa.large_string())))
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order].view(np.int64), owner[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[first], owner[first]
+
+
+def all_terms(b: pa.RecordBatch, base: dict) -> tuple[np.ndarray, np.ndarray]:
+    texts = ["" if x is None else x for x in b.column("text").to_pylist()]
+    for i, (text, own) in base.items():
+        texts[i] = blanked(text, own)
+    return distinct_terms([bare(x) for x in texts])
 
 
 def term_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every run of letters, and the text that holds it."""
+    """Hash of every run of three letter bytes or more, and the text that holds it."""
     data = LOWER[texts.data]
     inside = LETTER[data]
     if not len(data):
@@ -124,40 +162,88 @@ def term_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     edge[texts.offsets] = True
     starts = np.flatnonzero(inside & ~(np.concatenate([[False], inside[:-1]]) & ~edge[:-1]))
     ends = np.flatnonzero(inside & ~(np.concatenate([inside[1:], [False]]) & ~edge[1:])) + 1
-    return HASH.spans(data, starts, ends), np.searchsorted(texts.offsets, starts, "right") - 1
+    long = ends - starts >= 3
+    return HASH.spans(data, starts[long], ends[long]), np.searchsorted(texts.offsets, starts[long], "right") - 1
 
 
-OCCURRENCES = "doc_id long, entity long, term long"
+def entities(text: str, own) -> list[int]:
+    return sorted({entity_of(kind, text[s:e]) for kind, s, e in own})
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """For each document, its pairs of an entity and a term near it, and each entity once with a null term."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(is_term, key, n): the number of documents of each term and each entity."""
 
     def run(batches):
         for b in pieces(batches):
-            t = Texts(b.column("text"))
-            sums = np.concatenate([[0], np.cumsum(MARKS[t.data])])
-            rows: list[tuple] = []
-            for i in np.flatnonzero(sums[t.offsets[1:]] > sums[t.offsets[:-1]]).tolist():
-                text = b.column("text")[i].as_py()
-                doc = b.column("doc_id")[i].as_py()
-                pairs: set = set()
-                for kind, s, e in base_spans(text):
-                    entity = entity_of(kind, text[s:e])
-                    pairs |= {(entity, None)} | {(entity, term_key(w)) for w, _, _ in near_terms(text, s, e)}
-                rows += [(doc, *p) for p in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], ["doc_id", "entity", "term"])
+            base = rows_with_base(b)
+            term, n = np.unique(all_terms(b, base)[0], return_counts=True)
+            entity, m = np.unique(np.array([e for x in base.values() for e in entities(*x)], np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n) + len(m)) < len(n)), pa.array(np.concatenate([term, entity])), pa.array(np.concatenate([n, m]).astype(np.int64))], ["is_term", "key", "n"])
+
+    return docs.select("text").mapInArrow(run, "is_term boolean, key long, n long").groupBy("is_term", "key").agg(F.sum("n").alias("n"))
+
+
+class Frequent:
+    """Counts of the keys with more than a FREQUENTth of the sum, which are FREQUENT at most."""
 
-    return docs.select("doc_id", "text").mapInArrow(run, OCCURRENCES)
+    def __init__(self, counts: DataFrame):
+        self.rest = (counts.agg(F.sum("n")).first()[0] or 0) / FREQUENT
+        rows = counts.filter(F.col("n") > self.rest).select("key", "n").toArrow()
+        key, n = rows["key"].to_numpy(), rows["n"].to_numpy()
+        order = np.argsort(key)
+        self.key, self.n = key[order], n[order]
 
+    def of(self, key: np.ndarray, other: float) -> np.ndarray:
+        """Counts of keys; those not in the table have `other`."""
+        if not len(self.key):
+            return np.full(len(key), other, np.float64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.n[at], other).astype(np.float64)
 
-def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): the documents of docs that hold each of the terms.
 
-    Tasks see the terms through a Bloom filter of fixed size, so that they count few others; what it lets through
-    wrongly goes in the join.
+def together(docs: DataFrame, n: int, often_term: Frequent, often_entity: Frequent) -> DataFrame:
+    """(entity, term, n_te) of the pairs that can reach the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((often_term, often_entity))
+
+    def run(batches):
+        of_term, of_entity = shared.value
+        for b in pieces(batches):
+            base = list(rows_with_base(b).values())
+            term, owner = distinct_terms([bare(blanked(*x)) for x in base])
+            order = np.lexsort((of_term.of(term, 1), owner))
+            term, owner = term[order], owner[order]
+            n_t = of_term.of(term, 1)
+            first = np.searchsorted(owner, np.arange(len(base) + 1))
+            own = [entities(*x) for x in base]
+            entity = np.array([e for x in own for e in x], np.int64)
+            doc = np.repeat(np.arange(len(base)), [len(x) for x in own])
+            most = n ** (1 - DISCLOSURE) * of_entity.of(entity, max(of_entity.rest, 1)) ** DISCLOSURE * (1 + 1e-9)
+            few = np.array([np.searchsorted(n_t[first[k] : first[k + 1]], x, "right") for k, x in zip(doc, most, strict=True)], np.int64)
+            i = 0
+            while i < len(entity):
+                j = max(i + 1, i + int(np.searchsorted(np.cumsum(few[i : i + PAIR_ROWS]), PAIR_ROWS, "right")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(entity[i:j], few[i:j])), pa.array(term[ranges(first[doc[i:j]], few[i:j])] if few[i:j].any() else np.zeros(0, np.int64))], ["entity", "term"])
+                i = j
+
+    return docs.select("text").mapInArrow(run, "entity long, term long").groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+
+
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(term): terms that reveal an entity."""
+    n = docs.count()
+    counts = stored(counted(docs), "pii-counts")
+    terms, found = counts.filter("is_term").select("key", "n"), counts.filter("not is_term").select("key", "n")
+    joint = stored(together(docs, n, Frequent(terms), Frequent(found)), "pii-joint")
+    j = joint.join(found.select(F.col("key").alias("entity"), F.col("n").alias("n_e")), "entity").join(terms.select(F.col("key").alias("term"), F.col("n").alias("n_t")), "term")
+    pmi = F.log(F.col("n_te") * float(n) / (F.col("n_t") * F.col("n_e")))
+    return stored(j.filter((pmi > 0) & (pmi >= DISCLOSURE * F.log(F.lit(float(n)) / F.col("n_e")))).select("term").distinct(), "pii-terms")
+
+
+def holders(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, term) of all documents that hold one of the terms.
+
+    Tasks see the terms through a Bloom filter of fixed size; what it lets through wrongly goes in the join.
     """
-    spark = docs.sparkSession
     hits = terms.select(F.pmod("term", F.lit(FILTER_BITS)).alias("p")).distinct()
 
     def fill(batches):
@@ -171,52 +257,40 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
         bits |= np.frombuffer(r.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def count(batches):
+    def run(batches):
         for b in pieces(batches):
-            h, owner = term_hashes(Texts(b.column("text")))
-            p = (h.view(np.int64) % FILTER_BITS).astype(np.int64)
+            term, owner = all_terms(b, rows_with_base(b))
+            p = term % FILTER_BITS
             own = (shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-            pairs = np.unique(np.stack([h[own].view(np.int64), owner[own]]), axis=1) if own.any() else np.zeros((2, 0), np.int64)
-            term, n = np.unique(pairs[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n_t"])
-
-    return docs.select("text").mapInArrow(count, "term long, n_t long").groupBy("term").agg(F.sum("n_t").alias("n_t")).join(terms, "term", "left_semi")
-
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner[own])), pa.array(term[own])], ["doc_id", "term"])
 
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term) of terms that reveal an entity."""
-    n = docs.count()
-    joint = stored(found.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_te")), "pii-joint")
-    alone = found.filter("term is null").groupBy("entity").agg(F.count("*").alias("n_e"))
-    counts = document_counts(docs, joint.select("term").distinct())
-    pmi = F.log(F.col("n_te") * float(n) / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    return joint.join(alone, "entity").join(counts, "term").filter((pmi > 0) & (pmi >= DISCLOSURE * F.log(F.lit(float(n)) / F.col("n_e")))).select("entity", "term")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, term long").join(terms, "term", "left_semi")
 
 
 def with_spans(docs: DataFrame, body, schema: str) -> DataFrame:
     """body(record batch, list of spans for each row) -> record batch, over docs with the columns it had."""
     small_batches(docs.sparkSession)
-    found = stored(occurrences(docs), "pii-found")
-    known = disclosing(docs, found)
-    hints = found.filter("doc_id is not null").select("doc_id", "entity").distinct().join(known, "entity").groupBy("doc_id").agg(F.collect_set(F.struct("entity", "term")).alias("_hints"))
+    hints = holders(docs, disclosing(docs)).groupBy("doc_id").agg(F.collect_set("term").alias("_hints"))
     hints = stored(hints, "pii-hints")  # only documents with a disclosing term; its size decides how it is joined
 
     def run(batches):
         for b in pieces(batches):
-            t = Texts(b.column("text"))
-            sums = np.concatenate([[0], np.cumsum(MARKS[t.data])])
             spans: list[list] = [[] for _ in range(b.num_rows)]
-            for i in np.flatnonzero(sums[t.offsets[1:]] > sums[t.offsets[:-1]]).tolist():
-                text = b.column("text")[i].as_py()
-                own = base_spans(text)
-                hint = b.column("_hints")[i].as_py()
-                if hint:
-                    pairs = {(h["entity"], h["term"]) for h in hint}
-                    more = {(4, a, z) for kind, s, e in own for w, a, z in near_terms(text, s, e) if (entity_of(kind, text[s:e]), term_key(w)) in pairs}
-                    own = own + sorted(more)
+            base = rows_with_base(b)
+            for i, (_, own) in base.items():
                 spans[i] = own
+            words = {}
+            for i in np.flatnonzero(np.asarray(b.column("_hints").is_valid())).tolist():
+                text = b.column("text")[i].as_py()
+                words[i] = [(m.group(), *m.span()) for m in TERM.finditer(blanked(text, spans[i]))]
+            names = list({w for x in words.values() for w, _, _ in x})
+            lower = Texts(pa.array([w.lower() for w in names], pa.large_string()))
+            key = dict(zip(names, HASH.spans(LOWER[lower.data], lower.offsets[:-1], lower.offsets[1:]).view(np.int64).tolist(), strict=True))
+            for i, x in words.items():
+                hint = set(b.column("_hints")[i].as_py())
+                spans[i] = spans[i] + [(4, a, z) for w, a, z in x if key[w] in hint]
             yield body(b, spans)
 
     return docs.join(hints, "doc_id", "left").mapInArrow(run, schema)

@@ -285,6 +285,18 @@ def test_pii_terms_of_copies_and_of_single_documents(spark):
     assert all(text[i] == t for i, t in rows if i >= 100)
 
 
+def test_pii_terms_of_the_whole_text_and_of_other_documents(spark):
+    common = "with ask and for item plain text note here "
+    rows = [(i, f"Zorblax MÜLLERSON\n{common * 12}\nboss@corp.example\n{common * 3} (zorblax—müllerson)") for i in range(20)]
+    rows += [(50, f"{common} Zorblax again, without the address"), (51, f"{common} zorblaxes"), (None, "boss@corp.example and Zorblax")]
+    rows += [(100 + i, common * 2) for i in range(400)]
+    df = frame(spark, rows)
+    text = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert {text[i] for i in range(20)} == {f"<WORD> <WORD>\n{common * 12}\n<EMAIL>\n{common * 3} (<WORD>—<WORD>)"}
+    assert text[50] == f"{common} <WORD> again, without the address" and text[None] == "<EMAIL> and Zorblax"
+    assert all(text[i] == t for i, t in rows if i is not None and (i == 51 or i >= 100))
+
+
 def test_quality(spark):
     rows = corpus(6)
     out = {(r.doc_id, r.n_words): r for r in quality.quality(frame(spark, rows)).collect()}
