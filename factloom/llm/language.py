@@ -6,9 +6,12 @@ equally many of each language; one-versus-rest kernel ridge regression is fitted
 documented sample (SAMPLE rows per language, by hash order). Scoring is two batched matrix products: presence rows by
 landmarks, similarities by weights.
 
+Long texts would fill the hashed space, so a text of more than PART bytes is dealt into equal parts: its scores are the
+mean of theirs, and as a row of the fit it has the n-grams that at least half of its parts hold.
+
 Defined cases: a text that is null or has no letter is `und` with score 0; so is every text if nothing could be learned;
 ties go to the language that sorts first; repeated rows give repeated results; further columns are carried unless they
-are named like an output; an empty table gives an empty result; very long texts are read whole, block by block.
+are named like an output; an empty table gives an empty result; very long texts are read whole, part by part.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold, pieces, small_batches, table
-from .textops import LOWER, Texts
+from .textops import LOWER, Texts, ranges
 
 BITS = 13
 DIM = 1 << BITS
@@ -34,25 +37,41 @@ LANGUAGES = 500
 RIDGE = 0.05
 SHARPNESS = 4.0
 BLOCK = 1 << 20
+PART = 1 << 14
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = True
 FACTORS = {2: np.uint32(2654435761), 3: np.uint32(2246822519), 4: np.uint32(3266489917)}
 
 
-def presence(texts: Texts, lo: int, hi: int) -> np.ndarray:
-    """Rows of 0 and 1: which hashed n-grams the texts lo..hi-1 hold."""
+class Parts:
+    """The parts of texts: data and offsets as those of Texts, the text that owns each, and where its last n-gram ends."""
+
+    def __init__(self, texts: Texts):
+        size = np.diff(texts.offsets)
+        count = np.maximum(-(-size // PART), 1)
+        self.data, self.owner = texts.data, np.repeat(np.arange(len(size)), count)
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        self.offsets = np.append(texts.offsets[self.owner] + size[self.owner] * ranges(np.zeros_like(count), count) // count[self.owner], texts.offsets[-1])
+        self.ends = np.minimum(self.offsets[1:] + 3, texts.offsets[1:][self.owner])  # n-grams over a cut belong to the part they begin in
+
+    def __len__(self) -> int:
+        return len(self.owner)
+
+
+def presence(parts: Parts, lo: int, hi: int) -> np.ndarray:
+    """Rows of 0 and 1: which hashed n-grams the parts lo..hi-1 hold."""
     out = np.zeros((hi - lo) * DIM, np.uint8)
-    a, z = int(texts.offsets[lo]), int(texts.offsets[hi])
-    while a < z:  # long texts in blocks that overlap by three bytes
+    a, z = int(parts.offsets[lo]), int(parts.offsets[hi])
+    while a < z:
         b = min(a + BLOCK, z)
-        seg = LOWER[texts.data[a : min(b + 3, z)]].astype(np.uint32)
-        n = len(seg)
-        pad = np.concatenate([seg, np.zeros(3, np.uint32)])
+        n = b - a
+        seg = LOWER[parts.data[a : b + 3]]
+        pad = np.zeros(n + 3, np.uint32)
+        pad[: len(seg)] = seg
         four = pad[:-3] << 24 | pad[1:-2] << 16 | pad[2:-1] << 8 | pad[3:]
-        row = np.searchsorted(texts.offsets[lo + 1 : hi + 1], np.arange(a, a + n), "right") if hi - lo == 1 else np.repeat(np.arange(hi - lo), np.diff(np.clip(texts.offsets[lo : hi + 1], a, a + n)))
-        row = row.astype(np.int64)
-        end = texts.offsets[lo + 1 : hi + 1][row]
-        at = np.arange(a, a + n)
+        row = np.repeat(np.arange(hi - lo), np.diff(np.clip(parts.offsets[lo : hi + 1], a, b)))
+        end = parts.ends[lo:hi][row]
+        at = np.arange(a, b)
         for k, factor in FACTORS.items():
             ok = at + k <= end
             code = ((four >> np.uint32(8 * (4 - k))) * factor) >> np.uint32(32 - BITS)
@@ -61,7 +80,14 @@ def presence(texts: Texts, lo: int, hi: int) -> np.ndarray:
     return out.reshape(hi - lo, DIM)
 
 
-def row_blocks(texts: Texts, rows: int = 256, size: int = 1 << 20):
+def typical(parts: Parts, text: int) -> np.ndarray:
+    """The n-grams that at least half of the text's parts hold."""
+    lo, hi = int(parts.first[text]), int(parts.first[text + 1])
+    held = sum(presence(parts, a, min(a + 64, hi)).sum(0, dtype=np.int64) for a in range(lo, hi, 64))
+    return 2 * held >= hi - lo
+
+
+def row_blocks(texts: Parts, rows: int = 256, size: int = 1 << 20):
     i = 0
     while i < len(texts):
         j = int(np.searchsorted(texts.offsets, texts.offsets[i] + size, "right")) - 1
@@ -97,14 +123,16 @@ class LanguageModel:
         names, score = ["und"] * len(texts), np.zeros(len(texts))
         if not self.names:
             return names, score
-        for i, j in row_blocks(texts):
-            s = SHARPNESS * self.scores(presence(texts, i, j))
-            p = np.exp(s - s.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            best = p.argmax(1)
-            for k in range(i, j):
-                if letter[k]:
-                    names[k], score[k] = self.names[best[k - i]], float(p[k - i, best[k - i]])
+        parts = Parts(texts)
+        s = np.zeros((len(texts), len(self.names)))
+        for i, j in row_blocks(parts):
+            np.add.at(s, parts.owner[i:j], self.scores(presence(parts, i, j)))
+        s *= SHARPNESS / np.diff(parts.first)[:, None]
+        p = np.exp(s - s.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        best = p.argmax(1)
+        for k in np.flatnonzero(letter):
+            names[k], score[k] = self.names[best[k]], float(p[k, best[k]])
         return names, score
 
 
@@ -137,8 +165,8 @@ def fit(docs: DataFrame) -> LanguageModel:
 
     def rows(batches):
         for b in pieces(batches):
-            t = Texts(b.column("text"))
-            bits = [np.packbits(presence(t, k, k + 1)[0]).tobytes() for k in range(len(t))]
+            parts = Parts(Texts(b.column("text")))
+            bits = [np.packbits(typical(parts, k)).tobytes() for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(bits, pa.binary())], ["doc_id", "lang", "bits"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang")), "doc_id").mapInArrow(rows, "doc_id long, lang string, bits binary").dropDuplicates(["doc_id"]).collect()

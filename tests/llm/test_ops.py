@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -342,6 +343,17 @@ def test_language_odd_texts(spark):
     assert {r.lang_pred for r in language.predict(df, none).collect()} == {"und"}
 
 
+def test_language_of_texts_of_several_megabytes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter("doc_id % 5 <> 0"))
+    known = docs.filter("text is not null and lang is not null").toPandas()
+    names = sorted(known.lang.unique())
+    texts = ["\n".join(known.text[known.lang == x]) for x in names]
+    assert min(map(len, texts)) > 2_000_000
+    labels, scores = model.classify(language.Texts(pa.array(texts, pa.large_string())))
+    assert labels == names and scores.min() > 0.9
+
+
 def test_toxicity(spark):
     rnd = random.Random(3)
     clean = [f"w{k}" for k in range(200)]
