@@ -268,7 +268,7 @@ def facts_of(file: str, text: str) -> list[dict]:
         row = {
             "file": file, "kind": kind, "line": line, "col": col, "pre": i, "post": end, "fn": fn, "fn_name": f["name"], "fn_async": bool(f["async"]), "fn_params": f["params"], "in_loop": within("loop", i, f["lo"], f["hi"]) is not None,
             "in_try": within("try", i, f["lo"], f["hi"]) is not None, "in_catch": c is not None, "catch_param": c[2] if c else None, "in_finally": within("finally", i, f["lo"], f["hi"]) is not None,
-            "idents": sorted({s.x(j) for j in range(i, min(end + 1, len(s.t))) if s.t[j][0] == "ident"})[:200],
+            "idents": sorted({s.x(j) for j in range(i, min(end + 1, len(s.t))) if s.t[j][0] == "ident"}),
         }
         out.append(row | more)
         return out[-1]
@@ -283,8 +283,8 @@ def facts_of(file: str, text: str) -> list[dict]:
     while i < n:
         k, x, _ = s.t[i]
         if x == "import" and s.x(i + 1) not in ("(", "."):
-            j = next((j for j in range(i + 1, min(i + 400, n)) if s.t[j][0] == "string"), None)
-            if j is not None:
+            j = next((j for j in range(i + 1, n) if s.t[j][0] == "string" or s.x(j) == ";"), n)
+            if j < n and s.t[j][0] == "string":
                 names = [s.x(q) for q in range(i + 1, j) if s.t[q][0] == "ident" and s.x(q) not in ("from", "as", "type")]
                 add("import", i, j, name=unquoted(s.x(j)), args=names, value="type" if s.x(i + 1) == "type" else "namespace" if s.x(i + 1) == "*" else "esm")
                 i = j
@@ -329,11 +329,11 @@ def facts_of(file: str, text: str) -> list[dict]:
                 if s.x(a) == "{" and s.close.get(a) == b - 1:
                     for key, _, va, vb in s.pairs(a):
                         keys.append(key)
-                        literals[key] = unquoted(s.x(va)) if vb == va + 1 and s.t[va][0] in ("string", "number", "ident") else s.src(va, vb)[:200]
+                        literals[key] = unquoted(s.x(va)) if vb == va + 1 and s.t[va][0] in ("string", "number", "ident") else s.src(va, vb)
             first = parts[0] if parts else None
             inter = bool(first) and any("${" in s.x(q) if s.t[q][0] == "template" else s.x(q) == "+" and (s.t[q - 1][0] in ("string", "template") or s.t[q + 1][0] in ("string", "template")) for q in range(*first))
             add(
-                "new" if new else "call", j, end, name=".".join(c for c in chain if c), root=chain[0] if chain else "", method=chain[-1] if chain else "", args=[unquoted(s.src(a, b))[:400] if b == a + 1 else s.src(a, b)[:400] for a, b in parts],
+                "new" if new else "call", j, end, name=".".join(c for c in chain if c), root=chain[0] if chain else "", method=chain[-1] if chain else "", args=[unquoted(s.src(a, b)) if b == a + 1 else s.src(a, b) for a, b in parts],
                 arg_kinds=[s.kind_of(a, b) for a, b in parts], keys=keys, literals=literals, awaited=awaited, discarded=bool(starts and ends), handled=after in (".", "?.") and s.x(end + 2) in ("then", "catch", "finally"), interpolated=inter,
                 value=before if before in ("return", "=", "=>", "void", "throw") else "",
             )
@@ -342,23 +342,23 @@ def facts_of(file: str, text: str) -> list[dict]:
         elif x == "{" and s.x(i - 1) in ("(", "=", ":", ",", "[", "return", "=>", "?") and k == "punct":
             for key, at, a, b in s.pairs(i):
                 if a > at and b > a:
-                    add("prop", at, b - 1, name=key, value=unquoted(s.src(a, b))[:400] if b == a + 1 else s.src(a, b)[:400], arg_kinds=[s.kind_of(a, b)])
+                    add("prop", at, b - 1, name=key, value=unquoted(s.src(a, b)) if b == a + 1 else s.src(a, b), arg_kinds=[s.kind_of(a, b)])
         elif x in ("=", "+=", "||=", "??=") and s.t[i - 1][0] == "ident":
             j = i - 1
             while s.x(j - 1) in (".", "?.") and s.t[j - 2][0] == "ident":
                 j -= 2
             e = s._end_of_expression(i + 1)
             word = s.x(j - 1)
-            value = s.src(i + 1, e)[:400]
+            value = s.src(i + 1, e)
             add("assign", j, max(e - 1, i), name=s.src(j, i), root=s.x(j), method=x, value=unquoted(value) if e == i + 2 else value, arg_kinds=[s.kind_of(i + 1, e)], literals={"declared": word if word in ("const", "let", "var") else ""})
         elif x == "throw":
             e = s._end_of_expression(i + 1)
-            add("throw", i, e - 1, value=s.src(i + 1, e)[:400], arg_kinds=[s.kind_of(i + 1, e)])
+            add("throw", i, e - 1, value=s.src(i + 1, e), arg_kinds=[s.kind_of(i + 1, e)])
         elif x in ("==", "===", "!=", "!==", "<", ">", "<=", ">="):
             add("compare", i, i, name=x, args=[s.x(i - 1), s.x(i + 1)])
         elif k == "ident" and x == "return":
             e = s._end_of_expression(i + 1)
-            add("return", i, max(e - 1, i), value=s.src(i + 1, e)[:400] if e > i + 1 else "")
+            add("return", i, max(e - 1, i), value=s.src(i + 1, e) if e > i + 1 else "")
         elif k == "ident" and s.x(i + 1) in (".", "?.") and s.x(i - 1) not in (".", "?."):
             j = i
             while s.x(j + 1) in (".", "?.") and s.t[j + 2 : j + 3] and s.t[j + 2][0] == "ident":
@@ -374,7 +374,7 @@ def facts_of(file: str, text: str) -> list[dict]:
         line = bisect.bisect_right(s.lines, at)
         m = DIRECTIVE.search(c)
         kind = {"disable-next-line": "next", "disable-line": "same", "disable": "disable", "enable": "enable"}[m[1]] if m else "comment"
-        out.append({"file": file, "kind": f"directive:{kind}" if m else "comment", "name": (m[2] or "*") if m else None, "value": c[:400], "line": line, "col": at - s.lines[line - 1] + 1, "pre": -1, "post": -1, "fn": -1})
+        out.append({"file": file, "kind": f"directive:{kind}" if m else "comment", "name": (m[2] or "*") if m else None, "value": c, "line": line, "col": at - s.lines[line - 1] + 1, "pre": -1, "post": -1, "fn": -1})
     return out
 
 

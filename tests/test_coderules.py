@@ -80,3 +80,17 @@ def test_gate_suppression_and_edges(spark):
     assert [(r.line, r.diagnostic) for r in kept.collect()] == [(3, "no-trust-proxy-true")]
     assert coderules.gated(coderules.local_findings(facts), F.array(F.lit("koa"))).count() == 0
     assert sorted(tuple(r) for r in coderules.import_edges(facts, texts).collect()) == [("src/a.js", "lib/x.ts"), ("src/a.js", "src/z/index.js")]
+
+
+def test_long_values_are_whole(spark):
+    many = ", ".join(f"name{k}" for k in range(300))
+    rows = [
+        ("race", f"await Promise.race([f({'1 + ' * 200} 1), timeout(5)]);"),
+        ("all", f"await Promise.all({'a.' * 300}xs.map(f));"),
+        ("import", f"import {{ {many} }} from 'far';\nimport local\n;g('near');"),
+    ]
+    f = javascript.facts(spark.createDataFrame(rows, "path string, text string")).collect()
+    args = {r.file: r.args for r in f if r.kind == "call" and r.name in ("Promise.race", "Promise.all")}
+    assert "timeout(5)" in args["race"][0] and args["all"][0].endswith("xs.map(f)")
+    own = [r for r in f if r.kind == "import"]
+    assert [(r.name, len(r.args)) for r in own] == [("far", 300)] and {f"name{k}" for k in range(300)} <= set(own[0].idents)
