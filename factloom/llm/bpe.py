@@ -1,19 +1,21 @@
 """Operator 4, BPE encoding and decoding by a tokenization automaton.
 
-The merges of a vocabulary file are compiled, in their order, into a deterministic automaton over tokens. Its states are
-"the last token read" (and a start state). The gadget of the merge (a, b) -> ab forbids, after every token that at that
-time ends with a, every token that at that time begins with b, as the merge would have joined them across the border;
-and it adds the token ab. So a token t may be followed by a token s exactly if no gadget forbids it, and a word has just
-one path whose arc labels spell it: its encoding. Which tokens "end with a at that time" follows from the right spine of
-t's merge tree (its right child, that one's right child, ...), each part of which lives from the merge that made it to
-the merge that used it; left spines are alike. The full transition table has (vocabulary size)**2 entries, so rows are
-filled as words ask for them and kept.
-
-Pre-splitting follows the byte-level pattern of the vocabulary file, computed on whole batches with numpy; each distinct
-word is encoded once. Decoding emits the arc labels (bytes) of the ids.
-
-Defined cases: a null or empty text gives no ids and an empty decoded text; repeated rows give repeated results; further
-columns are carried; an empty table gives an empty result; very long texts are processed whole.
+The merges of a vocabulary file are compiled, one after another, into a deterministic automaton over tokens. At first it
+has one state with an arc for every byte. The gadget of the merge (a, b) -> ab takes the arc b from the state that a leads
+to (a copy of it, if other tokens lead there too), and gives every state with an arc a an arc ab to where b led. What a
+word's bytes spell on a path of the result is its encoding, and there is just one such path. All arcs of a token lead to
+one state, and tokens whose arcs come from the same states share a column, so the automaton is two arrays by token
+(state, column) and one table of bits, state by column; the vocabulary decides its size, and it is broadcast.
+
+Words are read byte by byte, all new words of a batch at once: a suffix automaton over the tokens (one transition table)
+names the tokens that end at a byte, longest first, and the table tells which of them the path of the word's prefix can
+end with: exactly one. Nothing is tried twice. Pre-splitting follows the byte-level pattern of the vocabulary file, computed
+on whole batches; each distinct word is encoded once. Decoding emits the arc labels (bytes) of the ids.
+
+Defined cases: a null or empty text gives no ids and an empty decoded text; ties cannot arise, as there is one path;
+repeated rows give repeated results; further columns are carried, but one named like an output is replaced by it; an
+empty table gives an empty result; very long texts and words are processed whole. Files in which two merges make the same
+token have no such automaton and are refused.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .textops import Rolling, Texts, mix, ranges
 U64 = np.uint64
 CACHE_WORDS = 250_000
 """Distinct words whose encodings a worker keeps; beyond it the cache starts anew."""
+CELLS, FEW = 1 << 20, 8
+"""Words times bytes that are read at once; fewer words than FEW (very long ones) are read one by one."""
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,10 +48,117 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Compiled:
+    """The automaton's arcs: token t may come in state s if bit column[t] of table[s] is set, and leads to state[t]."""
+
+    def __init__(self, tokens: int, base: list[int], merges: list[tuple[int, int, int]]):
+        state, column, live = [0] * tokens, [0] * tokens, [False] * tokens
+        for t in base:
+            live[t] = True
+        steps, states, columns = self._classes(base, merges)
+        bits = np.zeros((states, columns // 8 + 1), np.uint8)
+        bits[0, 0] = 1
+        n = 1
+        for a, b, ab, own_state, own_column in steps:
+            old = state[b]
+            here, there = state[a], column[b]
+            possible = live[a] and live[b] and int(bits[here, there >> 3]) >> (there & 7) & 1
+            if own_column:  # b's column becomes its own
+                bits[:n, own_column >> 3] |= (bits[:n, there >> 3] >> (there & 7) & 1) << (own_column & 7)
+                column[b] = there = own_column
+            if own_state:  # and a's state
+                bits[n] = bits[here]
+                state[a] = here = own_state
+                n += 1
+            if possible:
+                bits[here, there >> 3] &= 255 ^ 1 << (there & 7)
+                live[ab] = True
+            state[ab], column[ab] = old, column[a]
+        self.table = bits
+        self.state = np.array(state, np.int32)
+        self.column = np.where(live, column, columns).astype(np.int32)  # tokens that no path holds have a column without a bit
+
+    @staticmethod
+    def _classes(base, merges):
+        """For each merge the new state of its left part and the new column of its right part (0: it had its own)."""
+        state, column = dict.fromkeys(base, 0), dict.fromkeys(base, 0)
+        in_state, in_column = [len(base) + 1], [len(base)]  # the start is in state 0 as well
+        steps = []
+        for a, b, ab in merges:
+            if ab in state:
+                raise ValueError("two merges make one token")
+            old, own_state, own_column = state[b], 0, 0
+            if in_column[column[b]] > 1:
+                in_column[column[b]] -= 1
+                own_column = column[b] = len(in_column)
+                in_column.append(1)
+            if in_state[state[a]] > 1 or a == b:
+                in_state[state[a]] -= 1
+                own_state = state[a] = len(in_state)
+                in_state.append(1)
+            state[ab], column[ab] = old, column[a]
+            in_state[old] += 1
+            in_column[column[a]] += 1
+            steps.append((a, b, ab, own_state, own_column))
+        return steps, len(in_state), len(in_column)
+
+
+class Suffixes:
+    """Reads bytes and names the longest token that ends there: the transition table of the tokens' trie with its fall-backs."""
+
+    def __init__(self, label: dict[int, bytes], tokens: int):
+        edge: dict[int, int] = {}
+        parent, byte, depth, at = [0], [0], [0], {}
+        for token, text in label.items():
+            node = 0
+            for d, c in enumerate(text, 1):
+                key = node << 8 | c
+                nxt = edge.get(key)
+                if nxt is None:
+                    nxt = edge[key] = len(parent)
+                    parent.append(node)
+                    byte.append(c)
+                    depth.append(d)
+                node = nxt
+            at[token] = node
+        parent, byte, depth = np.array(parent), np.array(byte), np.array(depth)
+        inner = np.zeros(len(parent), bool)
+        inner[parent] = True
+        self.row, fall = np.zeros(len(parent), np.int32), np.zeros(len(parent), np.int32)
+        self.next = np.zeros((int(inner.sum()), 256), np.int32)  # nodes without children share the row of their fall-back
+        used = 1
+        order = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[order], np.arange(depth.max() + 2))
+        one = order[cuts[1] : cuts[2]]
+        self.token = np.full(len(parent), -1, np.int32)
+        self.token[list(at.values())] = list(at)
+        for d in range(1, len(cuts) - 1):
+            own = order[cuts[d] : cuts[d + 1]]
+            if d > 1:
+                fall[own] = self.next[self.row[fall[parent[own]]], byte[own]]
+            self.row[own] = self.row[fall[own]]
+            some = own[inner[own]]
+            self.row[some] = np.arange(used, used + len(some))
+            used += len(some)
+            self.next[self.row[some]] = self.next[self.row[fall[some]]] if d > 1 else 0
+            none = self.token[own] < 0
+            self.token[own[none]] = self.token[fall[own[none]]]
+            if d == 1:
+                self.next[0, byte[one]] = one
+                self.next[self.row[some]] = self.next[0]
+            below = order[cuts[d + 1] : cuts[d + 2]] if d + 2 < len(cuts) else order[:0]
+            self.next[self.row[parent[below]], byte[below]] = below
+        self.shorter = np.full(tokens, -1, np.int32)
+        for token, node in at.items():
+            self.shorter[token] = self.token[fall[node]]
+        self.length = np.zeros(tokens, np.int64)
+        self.length[list(label)] = [len(x) for x in label.values()]
+
+
 class Automaton:
-    """Transitions between tokens; `encode` walks a word's bytes, `decode` emits labels."""
+    """Encodes the bytes of words, decodes ids. `compiled` may come from elsewhere (a broadcast); the rest is made here."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, compiled: Compiled | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -55,112 +166,92 @@ class Automaton:
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         raw = {s: bytes(letters[c] for c in s) for s in model["vocab"] if s not in self.special}
         self.label: dict[int, bytes] = {model["vocab"][s]: b for s, b in raw.items()}
-        self.id = {b: i for i, b in self.label.items()}
+        self.tokens = max([*model["vocab"].values(), *self.special.values()]) + 1
+        if compiled is None:
+            ident = {b: i for i, b in self.label.items()}
+            merges = []
+            for m in model["merges"]:
+                x, y = m.split(" ") if isinstance(m, str) else m
+                merges.append((ident[raw[x]], ident[raw[y]], ident[raw[x] + raw[y]]))
+            compiled = Compiled(self.tokens, [i for i, b in self.label.items() if len(b) == 1], merges)
+        self.compiled = compiled
+        self.suffixes = Suffixes(self.label, self.tokens)
         self.label |= {i: s.encode() for s, i in self.special.items()}
-        self.rank: dict[int, int] = {}  # of pairs of tokens, one number each
-        born, parts = {}, {}
-        for r, m in enumerate(model["merges"]):
-            x, y = m.split(" ") if isinstance(m, str) else m
-            a, b, ab = self.id[raw[x]], self.id[raw[y]], self.id[raw[x] + raw[y]]
-            self.rank.setdefault(a << 20 | b, r)
-            if ab not in born:
-                born[ab], parts[ab] = r, (a, b)
-        self.born, self.parts = born, parts
-        self.right: dict[int, tuple] = {}
-        self.left: dict[int, tuple] = {}
-        self.allowed: dict[int, bool] = {}
-        self.longest = max(map(len, self.id), default=1)
-        self.shorter: dict[bytes, bytes] = {}  # filled as needed: the next shorter token that begins a token
-        self.prefixes = {b[:k] for b in self.id for k in range(1, len(b) + 1)}
-
-    def _spine(self, token: int, side: int) -> tuple:
-        """(part, merge that made it, merge that uses it) down one side of the token's merge tree."""
-        out, used = [], 1 << 40
-        while True:
-            made = self.born.get(token, -1)
-            out.append((token, made, used))
-            if token not in self.parts:
-                return tuple(out)
-            used, token = made, self.parts[token][side]
-
-    def follows(self, t: int, s: int) -> bool:
-        """The transition table: may token s come right after token t?"""
-        key = t << 20 | s
-        known = self.allowed.get(key)
-        if known is not None:
-            return known
-        right = self.right.get(t) or self.right.setdefault(t, self._spine(t, 1))
-        left = self.left.get(s) or self.left.setdefault(s, self._spine(s, 0))
-        ok = True
-        for a, a_made, a_used in right:
-            for b, b_made, b_used in left:
-                r = self.rank.get(a << 20 | b)
-                # of two equal merges the left one comes first: t's own merge before one across, one across before s's own
-                if r is not None and a_made < r < a_used and b_made < r <= b_used:
-                    ok = False
-        if len(self.allowed) > 4_000_000:
-            self.allowed.clear()
-        self.allowed[key] = ok
-        return ok
-
-    def _longest(self, word: bytes, at: int) -> int:
-        """Length of the longest token that begins at `at`."""
-        best, k, n = 1, 2, len(word) - at
-        while k <= n and k <= self.longest:
-            piece = word[at : at + k]
-            if piece in self.id:
-                best = k
-            elif piece not in self.prefixes:
-                break
-            k += 1
-        return best
 
     def encode(self, word: bytes) -> list[int]:
-        """The one path of the automaton that spells the word: depth first, longest labels first, dead positions kept."""
-        whole = self.id.get(word)
-        if whole is not None and self._own(whole):
-            return [whole]
-        ids: list[int] = []
-        ends = [0]
-        dead: set = set()
-        at, k, n = 0, self._longest(word, 0), len(word)
-        while at < n:
-            while k:
-                piece = word[at : at + k]
-                token = self.id.get(piece)
-                if token is not None and (at + k, token) not in dead and (not ids or self.follows(ids[-1], token)) and (k < 2 or self._own(token)):
+        """The labels of the one path that spells the word, by single steps."""
+        state, last = [0], [0]
+        node, s, c = 0, self.suffixes, self.compiled
+        for i, byte in enumerate(word, 1):
+            node = int(s.next[s.row[node], byte])
+            token = int(s.token[node])
+            while token >= 0:
+                column = int(c.column[token])
+                if c.table[state[i - int(s.length[token])], column >> 3] >> (column & 7) & 1:
                     break
-                k -= 1
-            if k:
-                ids.append(token)
-                at += k
-                ends.append(at)
-                if at < n:
-                    k = self._longest(word, at)
+                token = int(s.shorter[token])
+            if token < 0:
+                raise ValueError("no path spells this word")
+            state.append(int(c.state[token]))
+            last.append(token)
+        out, at = [], len(word)
+        while at:
+            out.append(last[at])
+            at -= int(s.length[last[at]])
+        return out[::-1]
+
+    def encode_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, back to back, and their numbers."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        order = np.argsort(-sizes, kind="stable")
+        owner, ids = [], []
+        i = 0
+        while i < len(words) and sizes[order[i]]:
+            longest = int(sizes[order[i]])
+            j = min(i + max(CELLS // longest, 1), len(words))
+            if j - i < FEW:
+                for k in order[i:j].tolist():
+                    ids.append(np.array(self.encode(words[k]), np.int32))
+                    owner.append(np.full(len(ids[-1]), k))
             else:
-                if not ids:
+                k, t = self._walk(data, first[order[i:j]], sizes[order[i:j]])
+                owner.append(order[i:j][k])
+                ids.append(t)
+            i = j
+        owner, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, ids))
+        return ids[np.argsort(owner, kind="stable")].astype(np.int32), np.bincount(owner, minlength=len(words))
+
+    def _walk(self, data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of falling size, a byte of each at a time: (word, token) in the order of the tokens of each word."""
+        s, c = self.suffixes, self.compiled
+        n, longest = len(sizes), int(sizes[0])
+        active = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")
+        state, last = np.zeros((longest + 1, n), np.int32), np.zeros((longest + 1, n), np.int32)
+        node = np.zeros(n, np.int32)
+        for i in range(1, longest + 1):
+            m = int(active[i - 1])
+            node[:m] = s.next[s.row[node[:m]], data[first[:m] + i - 1]]
+            todo, token = np.arange(m), s.token[node[:m]]
+            while len(todo):
+                if token.min() < 0:
                     raise ValueError("no path spells this word")
-                dead.add((at, ids[-1]))
-                ends.pop()
-                k = len(self.label[ids.pop()]) - 1
-                at = ends[-1]
-        return ids
-
-    @lru_cache(maxsize=1 << 20)  # noqa: B019
-    def _own(self, token: int) -> bool:
-        """Is the token the encoding of its own label (is it reachable at all)?"""
-        if token not in self.parts:
-            return len(self.label[token]) == 1
-        a, b = self.parts[token]
-        if not (self._own(a) and self._own(b)):
-            return False
-        right, left, mine = self._spine(a, 1), self._spine(b, 0), self.born[token]
-        for x, x_made, x_used in right:
-            for y, y_made, y_used in left:
-                r = self.rank.get(x << 20 | y)
-                if r is not None and r < mine and x_made < r < x_used and y_made < r <= y_used:
-                    return False
-        return True
+                column = c.column[token]
+                fits = (c.table[state[i - s.length[token], todo], column >> 3] >> (column & 7).astype(np.uint8) & 1).astype(bool)
+                last[i, todo[fits]] = token[fits]
+                state[i, todo[fits]] = c.state[token[fits]]
+                todo, token = todo[~fits], s.shorter[token[~fits]]
+        word, at, words, tokens = np.arange(n), sizes.copy(), [], []
+        while len(word):
+            token = last[at, word]
+            words.append(word)
+            tokens.append(token)
+            at = at - s.length[token]
+            word, at = word[at > 0], at[at > 0]
+        words, tokens = np.concatenate(words[::-1]), np.concatenate(tokens[::-1])
+        by = np.argsort(words, kind="stable")
+        return words[by], tokens[by]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.label.__getitem__, ids))
@@ -224,10 +315,11 @@ def presplit(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes Arrow columns of whole texts; one per worker. `single` encodes a word's bytes to ids."""
+    """Encodes Arrow columns of whole texts; one per worker. `many` encodes a list of words' bytes to ids and their numbers."""
 
-    def __init__(self, special: dict[str, int], single, label=None):
-        self.special, self.single, self.label = special, single, label
+    def __init__(self, special: dict[str, int], many, label=None):
+        self.special, self.many, self.label = special, many, label
+        self.names = {i: str(i) for i in label} if label else {}
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.hash = Rolling(303, 0)
         self.reset()
@@ -236,23 +328,19 @@ class Encoder:
         self.index: dict[int, int] = {}
         self.flat = np.zeros(1 << 20, np.int32)
         self.start, self.count, self.used = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int32), 0
-        self.text: list[str] = []
-        self.bytes: list[bytes] = []
 
-    def _add(self, key: int, ids: list[int]) -> int:
-        k = len(self.index)
-        if k >= len(self.start):
+    def _add(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Numbers of new words in the cache."""
+        k, n = len(self.index), len(keys)
+        while k + n > len(self.start):
             self.start, self.count = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.count, np.zeros_like(self.count)])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k], self.count[k] = self.used, len(ids)
+        self.start[k : k + n], self.count[k : k + n] = self.used + np.cumsum(counts) - counts, counts
         self.used += len(ids)
-        self.index[key] = k
-        if self.label is not None:
-            self.text.append(",".join(map(str, ids)))
-            self.bytes.append(b"".join(map(self.label.__getitem__, ids)))
-        return k
+        self.index.update(zip(keys, range(k, k + n), strict=True))
+        return np.arange(k, k + n)
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word of the texts its number in the cache, and where the words of each text begin."""
@@ -289,20 +377,15 @@ class Encoder:
                 keys[i:j] = self.hash.spans(seg, starts[i:j] - a, ends[i:j] - a, step)
                 i = j
         codes, uniques = pd.factorize(keys)
-        get, known = self.index.get, np.empty(len(uniques), np.int64)
-        missing = []
-        for u, key in enumerate(uniques.tolist()):
-            k = get(key)
-            if k is None:
-                missing.append(u)
-            else:
-                known[u] = k
-        if missing:
+        get = self.index.get
+        known = np.fromiter((get(key, -1) for key in uniques.tolist()), np.int64, len(uniques))
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
             at = np.zeros(len(uniques), np.int64)
             at[codes[::-1]] = np.arange(len(codes))[::-1]
-            for u in missing:
-                w = at[u]
-                known[u] = self._add(int(uniques[u]), self.single(joined[starts[w] : ends[w]].encode("utf-8", "surrogatepass")))
+            at = at[missing]
+            spelt = [joined[a:z].encode("utf-8", "surrogatepass") for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            known[missing] = self._add(uniques[missing].tolist(), *self.many(spelt))
         number = known[codes] if len(codes) else np.zeros(0, np.int64)
         first = np.searchsorted(starts, offsets)
         if owner is None:
@@ -312,7 +395,7 @@ class Encoder:
         for p, i in enumerate(owner):
             if p in special:
                 key = -1 - special[p]
-                rows[i].append(np.array([get(key) if get(key) is not None else self._add(key, [special[p]])]))
+                rows[i].append(np.array([get(key)]) if key in self.index else self._add([key], np.array([special[p]]), np.ones(1, np.int64)))
             else:
                 rows[i].append(number[first[p] : first[p + 1]])
         flat = [np.concatenate(r) if r else np.zeros(0, np.int64) for r in rows]
@@ -327,13 +410,12 @@ class Encoder:
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of ids, digest of the decimal ids joined by commas, digest of the decoded text."""
-        number, first = self.words(texts)
-        sums = np.concatenate([[0], np.cumsum(self.count[number].astype(np.int64))])
-        out, text, label = [], self.text, self.bytes
-        for i in range(len(texts)):
-            own = number[first[i] : first[i + 1]].tolist()
-            decoded = b"".join([label[k] for k in own]).decode("utf-8", "replace").encode()
-            out.append((int(sums[first[i + 1]] - sums[first[i]]), hashlib.sha256(",".join([text[k] for k in own]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        flat, first = self.ids(texts)
+        out, name, label = [], self.names.__getitem__, self.label.__getitem__
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            own = flat[i:j].tolist()
+            decoded = b"".join(map(label, own)).decode("utf-8", "replace").encode()
+            out.append((j - i, hashlib.sha256(",".join(map(name, own)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return out
 
 
@@ -352,15 +434,15 @@ def blocks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
 _AUTOMATA: dict[str, Automaton] = {}
 
 
-def automaton(path: str) -> Automaton:
+def automaton(path: str, compiled: Compiled | None = None) -> Automaton:
     if path not in _AUTOMATA:
-        _AUTOMATA[path] = Automaton(path)
+        _AUTOMATA[path] = Automaton(path, compiled)
     return _AUTOMATA[path]
 
 
-def automaton_encoder(path: str) -> Encoder:
-    a = automaton(path)
-    return Encoder(a.special, a.encode, a.label)
+def automaton_encoder(path: str, compiled: Compiled | None = None) -> Encoder:
+    a = automaton(path, compiled)
+    return Encoder(a.special, a.encode_many, a.label)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -368,8 +450,10 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name.lower() != "ids")
     keep = [f.name for f in docs.schema if f.name.lower() != "ids"]
 
+    compiled = docs.sparkSession.sparkContext.broadcast(automaton(path).compiled)  # of the vocabulary's size
+
     def run(batches):
-        own = automaton_encoder(path)
+        own = automaton_encoder(path, compiled.value)
         for b in batches:
             texts = ["" if x is None else x for x in b.column(text).to_pylist()]
             for i, j in blocks(texts):
@@ -385,8 +469,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     keep = [f.name for f in encoded.schema if f.name.lower() != out]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name in keep)
 
+    compiled = encoded.sparkSession.sparkContext.broadcast(automaton(path).compiled)
+
     def run(batches):
-        a = automaton(path)
+        a = automaton(path, compiled.value)
         for b in batches:
             texts = [a.decode(x or ()).decode("utf-8", "replace") for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, out])
@@ -397,8 +483,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
 
+    compiled = docs.sparkSession.sparkContext.broadcast(automaton(path).compiled)  # of the vocabulary's size
+
     def run(batches):
-        own = automaton_encoder(path)
+        own = automaton_encoder(path, compiled.value)
         for b in batches:
             texts = ["" if x is None else x for x in b.column("text").to_pylist()]
             for i, j in blocks(texts):

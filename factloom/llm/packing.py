@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,12 @@ def _encoder(path: str) -> Encoder:
     a = automaton(path)
     ranks = {b: i for i, b in a.label.items() if i not in a.special.values()}
     core = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._core_bpe
-    return Encoder(a.special, core.encode_single_piece)
+
+    def many(words):
+        ids = [core.encode_single_piece(w) for w in words]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    return Encoder(a.special, many)
 
 
 def encoded(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFrame:
