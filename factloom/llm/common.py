@@ -75,6 +75,20 @@ def fold(df: DataFrame, every: int) -> DataFrame:
     return F.crc32(F.col("doc_id").cast("string")) % every
 
 
+HOT = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row per key and says in `count` how many rows of left have it (total in all).
+
+    Keys with more than a HOT-th of all rows are HOT at most: they are broadcast, and their rows are not moved.
+    """
+    limit = total / HOT
+    hot = F.broadcast(right.filter(F.col(count) > limit))
+    cold = left.join(hot.select(*on), on, "left_anti").join(right.filter(F.col(count) <= limit), on, how)
+    return left.join(hot, on).unionByName(cold)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u long, v long): rows (node, component) with the smallest node of each.
 

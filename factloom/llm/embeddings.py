@@ -1,30 +1,36 @@
 """Operator 1, embedding near-dedup with int8 tile products.
 
-Equal vectors of a label are one class with a count, so copies are never compared with each other. Classes of a label
-are dealt into buckets, and every pair of buckets is one task, which quantises each unit vector to int8 with a scale of
-its own and multiplies tiles of them. (The integers are multiplied as float32, which holds their sums exactly up to 1040
-components at a time.) With x = x' + d and y = y' + e, |xy - x'y'| <= |d| + (1 + |d|) |e|, so a pair above the threshold
-by more than that bound is linked, one below it by more is not, and only those between are computed in double precision.
-A task returns counts and a spanning forest, not pairs.
+Equal vectors of a label are one class, which has a number of its own and a count, so copies are never compared with each
+other. Each class's unit vector is quantised to int8 with a scale of its own, which leaves a rest whose length is kept.
+Classes of a label are dealt into buckets, and every pair of buckets is one task, which gets the int8 codes only and
+multiplies tiles of them. (The integers are multiplied as float32, which holds their sums exactly up to 1040 components at
+a time.) With x = x' + d and y = y' + e, |xy - x'y'| <= |d| + (1 + |d|) |e|, so a pair above the threshold by more than
+that bound is linked and one below it by more is not. Only the vectors that have a pair between are sent to their tasks a
+second time, in double precision, and decide it there. A task returns counts and a spanning forest, not pairs.
 
 Defined cases: a vector that is null, zero or holds null or non-finite components, or has a null label, links with
 nothing; so do vectors of different lengths; rows with a null vec_id have no component (null, not kept) and link with
-nothing; repeated rows are vectors of their own; an empty table gives an empty result; extra columns are ignored.
+nothing; repeated rows are vectors of their own, and so are rows that repeat a vec_id with another vector (each is kept
+whose component's smallest vec_id is its own); ties cannot arise (the threshold itself links); an empty table gives an
+empty result; other columns are ignored, whatever their names; vectors of any length are compared whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, join_counted, small_batches, stored, table
 from .textops import min_labels
 
 THRESHOLD = 0.98
-BUCKET = 2048
-"""Classes of a bucket; twice as many meet in a task."""
+BUCKET = 8192
+"""Classes of a bucket; twice as many meet in a task, as codes."""
+BUCKET_BYTES = 4 << 20
+"""Codes of a bucket, if vectors are long."""
 TILE = 512
 EXACT = 1040
 SLACK = 1e-9
@@ -46,68 +52,131 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(x: np.ndarray, y: np.ndarray, qx, qy, threshold: float = THRESHOLD) -> np.ndarray:
-    """Boolean matrix of links between unit rows x and y with their quantised forms."""
-    (a, s, d), (b, t, e) = qx, qy
-    near = products(a, b) * s[:, None] * t[None, :]
-    bound = d[:, None] + (1 + d)[:, None] * e[None, :]
-    out = near - bound >= threshold + SLACK
-    i, j = np.nonzero(~out & (near + bound >= threshold - SLACK))
-    for k in range(0, len(i), 1 << 16):
-        p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-        out[p, q] = (x[p] * y[q]).sum(1) >= threshold
-    return out
-
-
-def tile_pair(rows: pa.Table, threshold: float) -> pa.Table:
-    """All pairs between two buckets (or inside one): per class what it links to, and its root in this task's forest."""
-    v = rows.column("embedding").combine_chunks()
-    n = rows.num_rows
-    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    ids, count, side = (rows.column(c).to_numpy() for c in ("rep", "n", "side"))
-    order = np.lexsort((ids, side))
-    x, ids, count, side = x[order], ids[order], count[order], side[order]
-    q = quantise(x)
-    first = int((side == 0).sum())
-    inner = first == n
-    links, label = np.zeros(n, np.int64), np.arange(n)
-    for i in range(0, first, TILE):
-        a = slice(i, min(i + TILE, first))
-        for j in range(i if inner else first, n, TILE):
-            b = slice(j, min(j + TILE, n))
-            m = linked(x[a], x[b], tuple(z[a] for z in q), tuple(z[b] for z in q), threshold)
-            if inner and i == j:
-                m = np.triu(m, 1)
-            if m.any():
-                links[a] += m @ count[b]
-                links[b] += m.T @ count[a]
-                p, r = np.nonzero(m)
-                old = np.flatnonzero(label != np.arange(n))
-                label = min_labels(n, np.concatenate([p + i, old]), np.concatenate([r + j, label[old]]))
-    hit = np.flatnonzero(links)
-    return pa.table([pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[label[hit]])], names=["rep", "links", "root"])
+def units(rows: pa.Table) -> np.ndarray:
+    """Unit vectors of rows whose embeddings have one length."""
+    x = rows.column("embedding").combine_chunks() if isinstance(rows.column("embedding"), pa.ChunkedArray) else rows.column("embedding")
+    x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows.column("embedding")), -1)
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of very small or large components stay in range
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def codes(classes: DataFrame) -> DataFrame:
+    """cid, label, d, n and the quantised form of each class."""
+
+    def run(batches):
+        for b in batches:
+            size = np.asarray(b.column("d"))
+            for d in np.unique(size):
+                own = b.filter(pa.array(size == d))
+                q, scale, rest = quantise(units(own))
+                yield pa.RecordBatch.from_arrays([own.column("cid"), own.column("label"), own.column("d"), own.column("n"), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale), pa.array(rest)], ["cid", "label", "d", "n", "code", "scale", "rest"])
+
+    kind = classes.schema["label"].dataType.simpleString()
+    return classes.mapInArrow(run, f"cid long, label {kind}, d int, n long, code binary, scale double, rest double")
+
+
+class Tiles:
+    """The classes of a task, those of side 0 first, and its pairs by tiles: (rows, columns, near, bound, which pairs count)."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by([("side", "ascending"), ("cid", "ascending")])
+        self.rows, self.n = rows, rows.num_rows
+        self.ids, self.count, self.side = (rows.column(c).to_numpy() for c in ("cid", "n", "side"))
+        self.q = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(self.n, -1)
+        self.scale, self.rest = rows.column("scale").to_numpy(), rows.column("rest").to_numpy()
+        first = int((self.side == 0).sum())
+        self.first, self.inner = first, first == self.n
+        self.links, self.label = np.zeros(self.n, np.int64), np.arange(self.n)
+
+    def __iter__(self):
+        for i in range(0, self.first, TILE):
+            a = slice(i, min(i + TILE, self.first))
+            for j in range(i if self.inner else self.first, self.n, TILE):
+                b = slice(j, min(j + TILE, self.n))
+                near = products(self.q[a], self.q[b]) * self.scale[a, None] * self.scale[None, b]
+                counts = np.triu(np.ones(near.shape, bool), 1) if self.inner and i == j else np.ones(near.shape, bool)
+                yield a, b, near, self.rest[a, None] + (1 + self.rest[a, None]) * self.rest[None, b], counts
+
+    def link(self, a: slice, b: slice, m: np.ndarray) -> None:
+        if not m.any():
+            return
+        self.links[a] += m @ self.count[b]
+        self.links[b] += m.T @ self.count[a]
+        p, r = np.nonzero(m)
+        old = np.flatnonzero(self.label != np.arange(self.n))
+        self.label = min_labels(self.n, np.concatenate([p + a.start, old]), np.concatenate([r + b.start, self.label[old]]))
+
+    def result(self, open_: np.ndarray) -> pa.Table:
+        out = np.flatnonzero((self.links > 0) | open_)
+        return pa.table([pa.array(self.ids[out]), pa.array(self.links[out]), pa.array(self.ids[self.label[out]]), pa.array(open_[out])], names=["cid", "links", "root", "open"])
+
+
+def by_bounds(rows: pa.Table, threshold: float) -> pa.Table:
+    """All pairs between two buckets (or inside one), as far as the bounds decide them; classes with another pair are open."""
+    t = Tiles(rows)
+    open_ = np.zeros(t.n, bool)
+    for a, b, near, bound, counts in t:
+        sure = counts & (near - bound >= threshold + SLACK)
+        t.link(a, b, sure)
+        between = counts & ~sure & (near + bound >= threshold - SLACK)
+        open_[a] |= between.any(1)
+        open_[b] |= between.any(0)
+    return t.result(open_)
+
+
+def in_full(rows: pa.Table, threshold: float) -> pa.Table:
+    """The pairs between two buckets (or inside one) that the bounds left, in double precision."""
+    t = Tiles(rows)
+    x = units(t.rows)
+    for a, b, near, bound, counts in t:
+        p, r = np.nonzero(counts & (near - bound < threshold + SLACK) & (near + bound >= threshold - SLACK))
+        m = np.zeros(near.shape, bool)
+        for k in range(0, len(p), 1 << 14):
+            i, j = p[k : k + (1 << 14)], r[k : k + (1 << 14)]
+            m[i, j] = (x[a][i] * x[b][j]).sum(1) >= threshold
+        t.link(a, b, m)
+    return t.result(np.zeros(t.n, bool))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
+    small_batches(vectors.sparkSession)
     v = vectors.select("vec_id", "embedding", "label")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    size = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    fine = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~bad & (size > 0), F.lit(False))
+    fine = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = v.filter(fine)
-    classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    sizes = classes.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("m")).select("label", "d", F.ceil(F.col("m") / bucket).alias("buckets"))
-    dealt = classes.withColumn("d", F.size("embedding")).join(sizes, ["label", "d"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("buckets")))
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("d", F.size("embedding")), "embedding-classes")  # written, so numbers stay
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    sizes = classes.groupBy("label", "d").agg(F.count("*").alias("m"))
+    sizes = sizes.select("label", "d", "m", F.ceil(F.greatest(F.col("m") / bucket, F.col("m") * F.col("d") / BUCKET_BYTES)).alias("buckets"))
+    quantised = stored(codes(classes), "embedding-codes")  # both steps see the same codes, so a pair is decided once
+    dealt = join_counted(quantised, sizes, ["label", "d"], "m", classes.count()).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("buckets")))
+    task = ["label", "d", "p", "q"]
     pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1))).select(
-        "label", "d", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"), F.when(F.col("i") <= F.col("o"), 0).otherwise(1).alias("side"), "rep", "n", "embedding"
+        "label", "d", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"), F.when(F.col("i") <= F.col("o"), 0).otherwise(1).alias("side"), "cid", "n", "code", "scale", "rest"
     )
-    found = cut(pairs.groupBy("label", "d", "p", "q").applyInArrow(lambda rows: tile_pair(rows, threshold), "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "component")
-    info = classes.select("label", "embedding", "rep", "n").join(links, "rep", "left").join(roots, "rep", "left")
-    info = info.select("label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    good_rows = good.join(info, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    kind = classes.schema["label"].dataType.simpleString()
+
+    def first(key, rows):
+        out = by_bounds(rows, threshold)
+        out = out.append_column("side", rows.column("side").take(pc.index_in(out.column("cid"), rows.column("cid"))))
+        for k, name in enumerate(task):
+            out = out.append_column(name, pa.array([key[k].as_py()] * out.num_rows, key[k].type))
+        return out
+
+    found = cut(pairs.groupBy(*task).applyInArrow(first, f"cid long, links long, root long, open boolean, side int, label {kind}, d int, p long, q long"))
+    again = found.filter("open").select("cid", "side", *task).join(quantised.select("cid", "n", "code", "scale", "rest"), "cid").join(classes.select("cid", "embedding"), "cid")
+    more = cut(again.groupBy(*task).applyInArrow(lambda rows: in_full(rows, threshold), "cid long, links long, root long, open boolean"))
+    both = found.select("cid", "links", "root").filter("links > 0").unionByName(more.select("cid", "links", "root"))
+    links = both.groupBy("cid").agg(F.sum("links").alias("links"))
+    linked = components(both.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("cid"), "component")
+    linked = cut(linked.join(classes.select("cid", "least"), "cid"))
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    named = join_counted(linked.select("cid", "component"), least, ["component"], "c", linked.count()).select("cid", "component_id")
+    info = classes.select("cid", "label", "embedding", "least", "n").join(links, "cid", "left").join(named, "cid", "left")
+    info = info.select("label", "embedding", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    good_rows = join_counted(good, info, ["label", "embedding"], "n", total).select("vec_id", "n_links", "component_id")
     out = good_rows.union(v.filter(~fine).select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

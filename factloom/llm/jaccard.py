@@ -1,18 +1,26 @@
 """Operator 9, n-gram Jaccard join by chosen paths.
 
 A document is the set of its hashed 5-word shingles (all its words if it has fewer); documents with equal sets are one
-class. A run of the join splits classes recursively: at a node of the tree (a path of tokens) every class follows the
-FAN tokens of its set that hash lowest under the path, so two similar sets share a child with a probability that grows
-with their similarity. A node's members that are few enough are compared by brute force on sketches of bounded error;
-larger nodes are split again, up to DEPTH; what is still large there is taken as one family without comparison (the
-next step is exact anyway). Runs are repeated until the expected recall at the threshold reaches RECALL.
-
-Sketch links make families, supersets of the true groups. Each family's texts meet once, in tiles if the family is
+class, which has a number of its own. A run of the join splits classes recursively: at the root every class follows the
+FAN tokens of its set that hash lowest under the run, below it the minhash tokens that it has in FAN bins drawn by the
+path, so two similar sets share a child with a probability that grows with their similarity. Only nodes of more than
+LIMIT classes are split again; smaller ones are compared by brute force on sketches of bounded error. A node that a split
+does not make smaller holds classes that are all alike, or hardly: some of its members, drawn by hash, are compared with
+all of them, and if that links most of it the rest is compared with all of it too, in tiles (so is every such node of up to
+BRUTE classes); otherwise it is split on. No node is taken as it is and no depth ends the recursion.
+
+FAN children of which a pair at the threshold shares each with a chance of 0.8 are a branching process that dies out with
+a chance of (0.2 + 0.8 q)**2 = q, 1/16, however deep it goes, so runs are repeated until the expected recall at the
+threshold reaches RECALL. The sketches' floor lies 6 deviations below the threshold (measured deviations of the sketch
+are 0.87 to 0.98 of the ones used).
+
+Sketch links make families, supersets of the true groups. Each family's sets meet once, in tiles if the family is
 large, and there all pairs are decided exactly by set intersection. Tasks return counts and spanning forests, not pairs.
 
-Defined cases: a null or empty text links with nothing; a null doc_id has no class (null) and links with nothing;
-repeated rows link with each other; ties cannot arise (the threshold itself links); other columns are ignored; an empty
-table gives an empty result; very long texts are sets like any other.
+Defined cases: a null or empty text links with nothing; a null doc_id has no class (null) and links with nothing; rows
+are documents, so repeated rows link with each other, and rows that repeat a doc_id with another text are judged by that
+text; ties cannot arise (the threshold itself links); other columns are ignored, whatever their names; an empty table
+gives an empty result; very long texts are sets like any other.
 """
 
 from __future__ import annotations
@@ -24,19 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, parallelism, pieces, small_batches, stored, table
+from .common import components, cut, join_counted, parallelism, pieces, small_batches, stored, table
 from .textops import BYTES, Rolling, Texts, min_labels, mix, ranges
 
 U64 = np.uint64
 WORDS, THRESHOLD = 5, 0.8
-FAN, DEPTH, LIMIT = 2, 2, 256
+FAN, LIMIT = 2, 256
 RECALL = 0.9999
-MISS = 0.05
-"""A run's chance to lose a pair at the threshold: at each of DEPTH levels 0.024 for no shared token among the FAN lowest
-of sets of equal size, rounded up."""
+MISS = 0.0625
+"""A run's chance to lose a pair at the threshold."""
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(MISS))
 BINS = 128
-TILE = 1024
+KEEP = 0.7
+"""A child with this share of its parent's classes has not become smaller."""
+BRUTE, PROBES, PROBE_TILE = 1 << 14, 16, 4096
+"""Such a node is compared in whole up to this size; members drawn first, on average; classes of a tile."""
+TILE, TILE_BYTES = 1024, 16 << 20
 ROLL, ROLL2 = Rolling(808, 0), Rolling(909, 0)
 
 
@@ -72,19 +83,13 @@ def lowest(tokens: np.ndarray, seeds: np.ndarray, first: np.ndarray) -> np.ndarr
     return np.stack([one, np.where(two == U64(2**64 - 1), one, two)], axis=1)
 
 
-def paths(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """All nodes that each set visits: runs x (FAN + FAN**2 + ...) path hashes, parents before children."""
+def roots(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The nodes below the root that each set visits: RUNS x FAN hashes."""
     out = []
     for run in range(RUNS):
-        level = [np.full(len(first) - 1, mix(np.array([run + 1], U64))[0])]
-        for _ in range(DEPTH):
-            nxt = []
-            for seed in level:
-                both = lowest(tokens, seed, first)
-                nxt += [mix(both[:, 0] ^ (seed * U64(3))), mix(both[:, 1] ^ (seed * U64(3)))]
-            out += nxt
-            level = nxt
-    return np.stack(out, axis=1)
+        seed = mix(np.array([run + 1], U64))[0]
+        out.append(mix(lowest(tokens, np.full(len(first) - 1, seed), first) ^ (seed * U64(3))))
+    return np.concatenate(out, axis=1)
 
 
 def sketch(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -103,46 +108,61 @@ def sketch(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def floor_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal bins below which two sets of these sizes are taken as unlike: 4.5 deviations under the threshold."""
+    """Share of equal bins below which two sets of these sizes are taken as unlike: 6 deviations under the threshold."""
     k = np.minimum(np.minimum(a, b), BINS)
-    return THRESHOLD - 4.5 * np.sqrt(THRESHOLD * (1 - THRESHOLD) / np.maximum(k, 1))
+    return THRESHOLD - 6 * np.sqrt(THRESHOLD * (1 - THRESHOLD) / np.maximum(k, 1))
+
+
+def keyed(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with a word: their positions, their shingles, where each one's begin, and a 128-bit key of the set in two parts."""
+    tokens, first = shingles(texts)
+    some = np.flatnonzero(np.diff(first) > 0)
+    first = np.append(first[some], first[-1])
+    if not len(some):
+        return some, tokens, first, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k1, k2 = np.add.reduceat(mix(tokens), first[:-1]), np.add.reduceat(mix(tokens + U64(99)), first[:-1])
+    return some, tokens, first, k1.view(np.int64), k2.view(np.int64)
 
 
 SETS = "doc_id long, n int, k1 long, k2 long, nodes array<long>, sketch binary"
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """Per row with a doc_id and a word: size, a 128-bit key of the set, the nodes it visits, its sketch."""
+    """Per row with a doc_id and a word: size, a 128-bit key of the set, its nodes below the root, its sketch."""
 
     def run(batches):
         for b in pieces(batches):
-            t = Texts(b.column("text"))
-            tokens, first = shingles(t)
-            some = np.flatnonzero(np.diff(first) > 0)
+            some, tokens, first, k1, k2 = keyed(Texts(b.column("text")))
             if not len(some):
                 continue
-            first = np.append(first[some], first[-1])
-            n = np.diff(first)
-            k1, k2 = np.add.reduceat(mix(tokens), first[:-1]), np.add.reduceat(mix(tokens + U64(99)), first[:-1])
-            nodes = paths(tokens, first)
-            sk = sketch(tokens, first)
+            nodes = roots(tokens, first)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id").take(pa.array(some)), pa.array(n.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                    b.column("doc_id").take(pa.array(some)), pa.array(np.diff(first).astype(np.int32)), pa.array(k1), pa.array(k2),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * nodes.shape[1], pa.int32()), pa.array(nodes.reshape(-1).view(np.int64))),
-                    pa.array([r.tobytes() for r in sk], pa.binary()),
+                    pa.array([r.tobytes() for r in sketch(tokens, first)], pa.binary()),
                 ],
                 ["doc_id", "n", "k1", "k2", "nodes", "sketch"],
             )
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, SETS)
+    return docs.mapInArrow(run, SETS)
+
+
+def sketches(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, n = rows.column("cid").to_numpy(), rows.column("n").to_numpy().astype(np.int64)
+    return ids, n, np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(ids), BINS)
+
+
+def forest(ids: np.ndarray, label: np.ndarray) -> pa.Table:
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return pa.table([pa.array(ids[own]), pa.array(ids[label[own]])], names=["u", "v"])
 
 
 def brute_force(rows: pa.Table) -> pa.Table:
-    """Sketch links inside each node of a shard of nodes: edges of a spanning forest."""
-    rows = rows.sort_by([("node", "ascending"), ("doc_id", "ascending")])
-    node, ids, n = rows.column("node").to_numpy(), rows.column("doc_id").to_numpy(), rows.column("n").to_numpy().astype(np.int64)
-    sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(node), BINS)
+    """Sketch links inside each node of a shard of small nodes: edges of a spanning forest."""
+    rows = rows.sort_by([("node", "ascending"), ("cid", "ascending")])
+    node = rows.column("node").to_numpy()
+    ids, n, sk = sketches(rows)
     cuts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
     sizes = np.diff(np.append(cuts, len(node)))
     label = np.arange(len(node))
@@ -166,46 +186,89 @@ def brute_force(rows: pa.Table) -> pa.Table:
                 old = np.flatnonzero(label != np.arange(len(node)))
                 label = min_labels(len(node), np.concatenate([a[hit], old]), np.concatenate([b[hit], label[old]]))
         i = j
-    own = np.flatnonzero(label != np.arange(len(node)))
-    return pa.table([pa.array(ids[own]), pa.array(ids[label[own]])], names=["u", "v"])
+    return forest(ids, label)
+
+
+def probe(rows: pa.Table) -> pa.Table:
+    """Sketch links between the probes (side 0) and the members (side 1) of a tile of a node: edges of a spanning forest."""
+    ids, n, sk = sketches(rows)
+    member = rows.column("side").to_numpy() == 1
+    left, right = np.flatnonzero(~member), np.flatnonzero(member)
+    label = np.arange(len(ids))
+    for a in left.tolist():
+        b = right[(label[right] != label[a]) & (np.minimum(n[right], n[a]) >= THRESHOLD * np.maximum(n[right], n[a]))]
+        hit = b[(sk[b] == sk[a]).mean(1) >= floor_of(n[b], n[a])]
+        if len(hit):
+            old = np.unique(np.append(label[hit], label[a]))
+            label[np.isin(label, old)] = old[0]
+    return forest(ids, label)
+
+
+def against(members: DataFrame, parts, probes: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges between the probes (cid, node, m, q of parts) and all members (cid, node, m) of their nodes."""
+    tiles = F.ceil(F.col("m") / PROBE_TILE)
+    right = members.select("cid", "node", F.pmod(F.xxhash64("cid"), tiles).alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("q"), F.lit(1).alias("side"))
+    left = probes.select("cid", "node", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"), "q", F.lit(0).alias("side"))
+    return left.unionByName(right).join(reps, "cid").groupBy("node", "tile", "q").applyInArrow(probe, "u long, v long")
 
 
 def families(classes: DataFrame) -> DataFrame:
-    """(node doc_id, component) of classes that have a sketch link, by the join's runs."""
-    width = FAN * (FAN**DEPTH - 1) // (FAN - 1)
+    """(node cid, component) of classes that have a sketch link, by the join's runs."""
     shards = 4 * parallelism(classes.sparkSession)
-    reps, nodes, edges = classes.select("doc_id", "n", "sketch"), classes.select("doc_id", "nodes"), []
-    # a row is a visit: run r, place p in the level; children of p are p * FAN, p * FAN + 1, ... of the next level
-    visits = [F.struct(F.lit(r).alias("r"), F.lit(p).alias("p"), F.col("nodes")[r * width + p].alias("node")) for r in range(RUNS) for p in range(FAN)]
-    each = nodes.select("doc_id", F.explode(F.array(*visits)).alias("x")).select("doc_id", "x.*")
-    start = 0
-    for level in range(DEPTH):
-        counts = cut(each.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1"))
-        small = each.join(counts.filter(F.col("m") <= LIMIT).select("node"), "node").select("doc_id", "node").join(reps, "doc_id")
-        edges.append(small.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(shards))).groupBy("_s").applyInArrow(brute_force, "u long, v long"))
-        large = counts.filter(F.col("m") > LIMIT)
-        if large.isEmpty():
+    reps = classes.select("cid", "n", "sketch")
+    visits, edges, level = classes.select("cid", F.explode(F.array_distinct("nodes")).alias("node"), F.lit(0).cast("long").alias("parent")), [], 1
+    while True:
+        counts = cut(visits.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1"))
+        total, most = counts.agg(F.sum("m"), F.max("m")).first()
+        if not total:
             break
-        still = each.join(large.select("node"), "node")
-        if level + 1 == DEPTH:  # one family, without comparison
-            least = still.groupBy("node").agg(F.min("doc_id").alias("v"))
-            edges.append(still.join(least, "node").select(F.col("doc_id").alias("u"), "v"))
+        placed = cut(join_counted(visits, counts, ["node"], "m", total))
+        small = placed.filter(F.col("m") <= LIMIT).select("cid", "node").join(reps, "cid")
+        edges.append(small.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(shards))).groupBy("_s").applyInArrow(brute_force, "u long, v long"))
+        if most <= LIMIT:
             break
-        start += FAN ** (level + 1)
-        below = F.array(*[F.struct("r", (F.col("p") * FAN + k).alias("p")) for k in range(FAN)])
-        each = cut(still.select("doc_id", F.explode(below).alias("x")).select("doc_id", "x.*").join(nodes, "doc_id").select("doc_id", "r", "p", F.element_at("nodes", F.col("r") * width + start + F.col("p") + 1).alias("node")))
+        large = placed.filter(F.col("m") > LIMIT)
+        if level > 1:
+            stuck = large.filter(F.col("m") >= KEEP * F.col("parent"))
+            if not stuck.isEmpty():
+                more, rest = compared(stuck, reps)
+                edges += more
+                large = large.filter(F.col("m") < KEEP * F.col("parent")).unionByName(rest)
+        bins = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(BINS)) for k in range(FAN)]
+        below = F.array(*[F.xxhash64("node", F.lit(k), F.substring("sketch", 2 * b + 1, F.lit(2))) for k, b in enumerate(bins)])
+        visits = cut(large.join(reps, "cid").select("cid", F.explode(below).alias("node"), F.col("m").alias("parent")))
+        level += 1
+    if not edges:
+        return classes.select(F.col("cid").alias("node"), F.col("cid").alias("component")).limit(0)
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
     return components(out)
 
 
+def compared(stuck: DataFrame, reps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Edges of nodes (cid, node, m, parent) that a split did not make smaller, and the nodes that are to be split on."""
+    total = stuck.count()
+    drawn = stuck.filter(F.pmod(F.xxhash64("cid", "node"), F.lit(1 << 30)) < F.lit(PROBES << 30) / F.col("m")).withColumn("q", F.lit(0).cast("long"))
+    first = cut(against(stuck, F.lit(1).cast("long"), drawn, reps))
+    label = components(first).withColumnRenamed("node", "cid")
+    known = cut(stuck.join(label, "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component"))
+    main = known.groupBy("node", "label", "m").agg(F.count("*").alias("c")).groupBy("node", "m").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("c"))
+    known = cut(join_counted(known.drop("m"), main, ["node"], "m", total))
+    whole = (F.col("m") <= BRUTE) | (2 * F.col("c") >= F.col("m"))
+    parts = F.ceil((F.col("m") - F.col("c")) / PROBE_TILE)
+    others = known.filter(whole & (F.col("label") != F.col("main"))).withColumn("q", F.pmod(F.xxhash64("cid", F.lit(7)), parts))
+    rest = known.filter(~whole).select("cid", "node", "parent", "m")
+    return [first, against(known.filter(whole & (F.col("c") < F.col("m"))), parts, others, reps)], rest
+
+
 def exact_pairs(rows: pa.Table) -> pa.Table:
     """Decide all pairs of each family of a task (or between two tiles of one) by the sizes of set intersections."""
-    texts = Texts(rows.column("text"))
-    tokens, first = shingles(texts)
-    size = np.diff(first)
-    family, ids, mult, side = (rows.column(c).to_numpy() for c in ("family", "doc_id", "mult", "side"))
+    blobs = [np.frombuffer(x.as_buffer(), U64) for x in rows.column("tokens")]
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    tokens, first = np.concatenate(blobs), np.concatenate([[0], np.cumsum(size)])
+    del blobs
+    family, ids, mult, side = (rows.column(c).to_numpy() for c in ("family", "cid", "mult", "side"))
     out_id, out_links, out_root = [], [], []
     order = np.lexsort((ids, side, family))
     cuts = np.flatnonzero(np.append(True, family[order][1:] != family[order][:-1]))
@@ -248,36 +311,56 @@ def exact_pairs(rows: pa.Table) -> pa.Table:
         out_links.append(links[hit].astype(np.int64))
         out_root.append(ids[own][label[hit]])
     none = [np.zeros(0, np.int64)]
-    return pa.table([pa.array(np.concatenate(x or none)) for x in (out_id, out_links, out_root)], names=["doc_id", "links", "root"])
+    return pa.table([pa.array(np.concatenate(x or none)) for x in (out_id, out_links, out_root)], names=["cid", "links", "root"])
+
+
+def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, tokens) of the wanted classes (cid, doc_id, k1, k2); other texts of the same doc_id are left out."""
+
+    def run(batches):
+        for b in pieces(batches):
+            some, tokens, first, k1, k2 = keyed(Texts(b.column("text")))
+            same = (b.column("k1").to_numpy()[some] == k1) & (b.column("k2").to_numpy()[some] == k2)
+            at = np.flatnonzero(same)
+            blobs = [tokens[first[i] : first[i + 1]].tobytes() for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(some[at])), pa.array(blobs, pa.binary())], ["cid", "tokens"])
+
+    return docs.join(wanted, "doc_id").mapInArrow(run, "cid long, tokens binary").dropDuplicates(["cid"])
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id that links reach), n_links (other rows with a similarity of the threshold or more)."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select("doc_id", "text")
+    docs = rows.filter("doc_id is not null")
     sets = stored(sets_of(docs), "jaccard-sets")
-    keys = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
-    members = sets.select("doc_id", "k1", "k2").join(keys, ["k1", "k2"]).select("doc_id", "rep", "mult")
-    # one row of each class: repeated rows of the smallest doc_id are the same set
-    classes = sets.join(keys.select(F.col("rep").alias("doc_id"), "k1", "k2", "mult"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    classes = stored(classes.select("doc_id", "n", "nodes", "sketch"), "jaccard-classes")
-    family = cut(families(classes))
-    sizes = family.groupBy("component").agg(F.count("*").alias("m"))
-    shards = 4 * parallelism(docs.sparkSession)
-    put = family.join(sizes, "component").join(keys.select(F.col("rep").alias("node"), "mult"), "node")
-    put = put.withColumn("tiles", F.ceil(F.col("m") / TILE)).withColumn("i", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    put = put.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    keys = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("mult"))
+    # one row of each class; its number is fixed by being written
+    classes = sets.join(keys, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
+    family = cut(families(classes).join(classes.select(F.col("cid").alias("node"), "mult", "n"), "node"))
+    total, size = family.agg(F.count("*"), F.sum("n")).first()
+    sizes = family.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    shards = max(4 * parallelism(spark), 8 * (size or 0) // (2 * TILE_BYTES))
+    put = join_counted(family, sizes, ["component"], "m", total).withColumn("tiles", F.ceil(F.greatest(F.col("m") / TILE, 8 * F.col("size") / TILE_BYTES)))
+    put = put.withColumn("i", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     put = put.select(
-        F.col("node").alias("doc_id"), F.col("component").alias("family"), "mult", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"), F.when(F.col("i") <= F.col("o"), 0).otherwise(1).alias("side"),
+        F.col("node").alias("cid"), F.col("component").alias("family"), "mult", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"), F.when(F.col("i") <= F.col("o"), 0).otherwise(1).alias("side"),
         F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(shards))).otherwise(F.lit(-1)).alias("shard"),
     )
     put = put.withColumn("whole", F.when(F.col("shard") < 0, F.col("family")))
-    texts = docs.filter("doc_id is not null").select("doc_id", "text").join(put.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = cut(put.join(texts, "doc_id").groupBy("shard", "whole", "p", "q").applyInArrow(exact_pairs, "doc_id long, links long, root long"))
-    links = found.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("doc_id").alias("u"), F.col("root").alias("v")))
-    info = links.join(roots, links.doc_id == roots.node, "left").select(F.col("doc_id").alias("rep"), "links", "component")
-    out = members.join(info, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    without = docs.select("doc_id", "text").filter(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    wanted = classes.select("cid", "doc_id", "k1", "k2").join(family.select(F.col("node").alias("cid")), "cid", "left_semi")
+    found = cut(put.join(tokens_of(docs, wanted), "cid").groupBy("shard", "whole", "p", "q").applyInArrow(exact_pairs, "cid long, links long, root long"))
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    linked = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("cid"), "component")
+    linked = cut(linked.join(classes.select("cid", "doc_id"), "cid"))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c"))
+    named = join_counted(linked.select("cid", "component"), least, ["component"], "c", linked.count()).select("cid", "class_id")
+    info = classes.select("cid", "k1", "k2", "mult", F.col("doc_id").alias("own")).join(links, "cid", "left").join(named, "cid", "left")
+    info = info.select("k1", "k2", "mult", F.coalesce("class_id", "own").alias("class_id"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = join_counted(sets.select("doc_id", "k1", "k2"), info, ["k1", "k2"], "mult", sets.count()).select("doc_id", "class_id", "n_links")
+    without = rows.filter(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return out.union(without.select("doc_id", "doc_id", F.lit(0).cast("long")))
 
 
