@@ -85,7 +85,7 @@ class Tiles:
         self.q = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(self.n, -1)
         self.scale, self.rest = rows.column("scale").to_numpy(), rows.column("rest").to_numpy()
         first = int((self.side == 0).sum())
-        self.first, self.inner = first, first == self.n
+        self.first, self.inner = first, self.n > 0 and rows.column("p")[0] == rows.column("q")[0]
         self.links, self.label = np.zeros(self.n, np.int64), np.arange(self.n)
 
     def __iter__(self):

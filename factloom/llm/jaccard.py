@@ -269,6 +269,7 @@ def exact_pairs(rows: pa.Table) -> pa.Table:
     tokens, first = np.concatenate(blobs), np.concatenate([[0], np.cumsum(size)])
     del blobs
     family, ids, mult, side = (rows.column(c).to_numpy() for c in ("family", "cid", "mult", "side"))
+    between = rows.num_rows > 0 and rows.column("p")[0] != rows.column("q")[0]
     out_id, out_links, out_root = [], [], []
     order = np.lexsort((ids, side, family))
     cuts = np.flatnonzero(np.append(True, family[order][1:] != family[order][:-1]))
@@ -298,9 +299,8 @@ def exact_pairs(rows: pa.Table) -> pa.Table:
         link = common >= THRESHOLD * union - 1e-6
         # 0.8 of a union of whole numbers is met or missed by 0.2 at least
         np.fill_diagonal(link, False)
-        first_side = side[own] == side[own][0]
-        if not first_side.all():
-            link &= first_side[:, None] != first_side[None, :]
+        if between:
+            link &= side[own][:, None] != side[own][None, :]
         a, b = np.nonzero(np.triu(link))
         if not len(a):
             continue
