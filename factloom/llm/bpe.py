@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .textops import Rolling, Texts, mix, ranges
+from .textops import Rolling, mix, ranges, worker_memory
 
 U64 = np.uint64
 CACHE_WORDS = 250_000
@@ -441,6 +441,7 @@ def automaton(path: str, compiled: Compiled | None = None) -> Automaton:
 
 
 def automaton_encoder(path: str, compiled: Compiled | None = None) -> Encoder:
+    worker_memory()
     a = automaton(path, compiled)
     return Encoder(a.special, a.encode_many, a.label)
 

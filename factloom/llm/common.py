@@ -12,13 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textops import worker_memory
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local one serves a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = Path(tempfile.gettempdir(), f"factloom-{os.getpid()}").as_uri()
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -43,13 +47,30 @@ BATCH_ROWS, BATCH_SIZE = 2000, "8m"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to a few MB: rows here are whole texts, and a batch is held by the JVM and Python at once."""
+    """Hold Arrow batches to a few MB: rows here are whole texts, and a batch is held by the JVM and Python at once.
+
+    Both settings are read when a result is computed, after the operator has returned, so they stay lowered in the session.
+    """
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if not 0 < rows <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_SIZE)
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """Quoted names of df's columns but those named, whatever their case."""
+    gone = {n.lower() for n in names}
+    return [f"`{c}`" for c in df.columns if c.lower() not in gone]
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -58,8 +79,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batches, text: str = "text", limit: int = 4 << 20):
-    """Record batches cut to about `limit` bytes of text, one row at least."""
+def pieces(batches, text: str = "text", limit: int = 1 << 20):
+    """In a task: record batches cut to about `limit` bytes of text, one row at least."""
+    worker_memory()
     for b in batches:
         t = b.column(text)
         sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(t), 0), np.int64)) if b.num_rows else np.zeros(0)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parallelism, small_batches
-from .textops import NO_DOC, Texts
+from .textops import NO_DOC, Texts, worker_memory
 
 BATCH_BYTES = 3 << 20
 BUCKET_KEYS = 1 << 20
@@ -40,6 +40,7 @@ class Batch:
     """A batch's rows in order of doc_id; null ids come last."""
 
     def __init__(self, rows: pa.Table):
+        worker_memory()
         ids = rows.column("doc_id")
         ids = (ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids).fill_null(NO_DOC).to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")

@@ -9,14 +9,21 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-with contextlib.suppress(OSError, AttributeError):  # glibc: give large arrays back to the system when they are freed
-    _libc = ctypes.CDLL("libc.so.6")
-    for _what, _value in ((-3, 1 << 18), (-1, 1 << 20), (-8, 2)):  # map threshold, trim threshold, arenas
-        _libc.mallopt(_what, _value)
+
+@lru_cache(maxsize=1)
+def worker_memory() -> None:
+    """Set-up of a Python worker, called by tasks and not on the driver: glibc keeps up to 32 MB of freed arrays and gives
+    larger ones back to the system, so that neither page faults nor the memory of past tasks pile up."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        for what, value in ((-3, 9 << 20), (-1, 32 << 20), (-8, 2)):  # map threshold, trim threshold, arenas
+            libc.mallopt(what, value)
+
 
 U64 = np.uint64
 WORD_SEP = np.zeros(256, bool)

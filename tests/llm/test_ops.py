@@ -231,11 +231,40 @@ def test_packing(spark):
     assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in total) == 0
 
 
-def test_packing_neighbours_come_first():
-    items = [np.array(x, np.uint16) for x in ([5, 6, 7], [1, 2], [5, 6], [9])]
-    idf = np.ones(20, np.float32)
-    shard = packing.Shard(items, idf)
-    assert shard.neighbours(0, np.array([False, True, True, True])).tolist()[0] == 2
+def bm25(items, seed):
+    """Scores of all items (lists of ids) for all terms of the seed, by the formula."""
+    n, mean = len(items), sum(map(len, items)) / len(items)
+    df = Counter(t for x in items for t in set(x))
+    out = []
+    for x in items:
+        tf = Counter(x)
+        out.append(sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in set(items[seed]) if tf[t]))
+    return out
+
+
+def test_packing_neighbours_are_those_of_brute_force():
+    rnd = random.Random(2)
+    items = [[rnd.randrange(40) for _ in range(rnd.randint(1, 30))] for _ in range(60)] + [[50], [51, 51]]
+    df = np.bincount([t for x in items for t in set(x)], minlength=60)
+    corpus = packing.Corpus.of(df, len(items), sum(map(len, items)))
+    shard = packing.Shard([(*np.unique(np.array(x), return_counts=True), len(x)) for x in items], corpus)
+    unused = np.ones(len(items), bool)
+    unused[[3, 7]] = False
+    for seed in range(len(items)):
+        want, order = bm25(items, seed), shard.neighbours(seed, unused)
+        assert sorted(order.tolist()) == np.flatnonzero(unused).tolist()
+        assert np.allclose([want[k] for k in order if k != seed], sorted((want[k] for k in np.flatnonzero(unused) if k != seed), reverse=True), atol=1e-4)
+
+
+def test_packing_brings_neighbours_together_whatever_their_order(spark):
+    rnd = random.Random(8)
+    topics = [["".join(rnd.choice("abcdefghilmnoprstuvz") for _ in range(9)) for _ in range(12)] for _ in range(40)]
+    rows = [(i, " ".join(rnd.choice(["the", "of", "and", "to", rnd.choice(topics[i % 40])]) for _ in range(100))) for i in range(400)]
+    rnd.shuffle(rows)
+    out = packing.pack(frame(spark, rows).repartition(3), PATH, shard=64).toPandas()
+    seen = out.groupby("sequence_id").doc_id.apply(set)
+    good = {i for s in seen for i in s if any(j != i and j % 40 == i % 40 for j in s)}
+    assert len(good) >= 0.75 * len(rows)  # by chance about a half, by the place's first term alone 0.69
 
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
