@@ -3,15 +3,16 @@
 Blended-spectrum kernel on presence: k(x, z) = |N(x) & N(z)| / sqrt(|N(x)| |N(z)|), where N(x) is the set of hashed
 2-, 3- and 4-byte n-grams of the whole text (ASCII letters in lower case). Nystroem landmarks are labelled documents,
 equally many of each language; one-versus-rest kernel ridge regression is fitted in the landmarks' space on a bounded,
-documented sample (SAMPLE rows per language, by hash order). Scoring is two batched matrix products: presence rows by
-landmarks, similarities by weights.
+documented sample (SAMPLE rows per language by hash order, fewer if there are many languages: ROWS in all, but one row of
+every language). Scoring is two batched matrix products: presence rows by landmarks, similarities by weights.
 
 Long texts would fill the hashed space, so a text of more than PART bytes is dealt into equal parts: its scores are the
 mean of theirs, and as a row of the fit it has the n-grams that at least half of its parts hold.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is every text if nothing could be learned;
-ties go to the language that sorts first; repeated rows give repeated results; further columns are carried unless they
-are named like an output; an empty table gives an empty result; very long texts are read whole, part by part.
+ties go to the language that sorts first; repeated rows give repeated results (and count once in the fit); further columns
+are carried unless they are named like an output, which replaces them; an empty table gives an empty result; very long
+texts are read whole, part by part.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, small_batches, table
+from .common import cut, fold, pieces, small_batches, table
 from .textops import LOWER, Texts, ranges
 
 BITS = 13
@@ -32,8 +33,8 @@ DIM = 1 << BITS
 SAMPLE = 400
 LANDMARKS = 48
 """Per language: labelled rows of the fit, and those of them that are landmarks."""
-LANGUAGES = 500
-"""Languages that are learned, the most frequent first; with SAMPLE it bounds the sample."""
+ROWS = 4800
+"""Rows of the fit over all languages; every language has one at least."""
 RIDGE = 0.05
 SHARPNESS = 4.0
 BLOCK = 1 << 20
@@ -136,11 +137,16 @@ class LanguageModel:
         return names, score
 
 
+def share(languages: int) -> int:
+    """Rows of the fit for each of so many languages."""
+    return max(min(SAMPLE, ROWS // max(languages, 1)), 1)
+
+
 def solve(names: list[str], labels: np.ndarray, rows: np.ndarray) -> LanguageModel:
     """Kernel ridge regression on presence rows; labels are positions in names."""
     x = rows.astype(np.float32)
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    marks = np.concatenate([np.flatnonzero(labels == k)[:LANDMARKS] for k in range(len(names))])
+    marks = np.concatenate([np.flatnonzero(labels == k)[: max(LANDMARKS * share(len(names)) // SAMPLE, 1)] for k in range(len(names))])
     z = x[marks]
     value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = value > 1e-6 * value.max()
@@ -157,11 +163,15 @@ def solve(names: list[str], labels: np.ndarray, rows: np.ndarray) -> LanguageMod
 
 def fit(docs: DataFrame) -> LanguageModel:
     """Fit on text and lang of docs (doc_id, text, lang); rows with a null lang or doc_id do not count."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     small_batches(docs.sparkSession)
     labelled = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang")
-    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    chosen = labelled.join(F.broadcast(known.select("lang")), "lang", "left_semi").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SAMPLE)
+    known = cut(labelled.groupBy("lang").agg(F.count("*").alias("n")))  # one row per language
+    most = share(known.count())
+    # rows are thinned by a hash of their own first, so that the ranking sees about twice the rows it keeps of a language
+    key = F.xxhash64("doc_id")
+    near = labelled.join(F.broadcast(known), "lang").filter(F.pmod(key, F.lit(1 << 30)) * F.col("n") < F.lit((2 * most + 64) << 30)).select("doc_id", "lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(key, F.lit(1 << 30)), "doc_id"))
+    chosen = near.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("_n", rank).filter(F.col("_n") <= most)
 
     def rows(batches):
         for b in pieces(batches):
@@ -192,6 +202,19 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "lang_pred string, score double"]))
 
 
+def accepted(docs: DataFrame, model: LanguageModel, least: float, text: str = "text") -> DataFrame:
+    """The rows of docs, as they are, whose text has a letter and a language with a score of `least` or more."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in pieces(batches, text):
+            names, score = shared.value.classify(Texts(b.column(text)))
+            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter(fold(docs, 5) != 0))

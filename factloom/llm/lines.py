@@ -7,8 +7,9 @@ MIN_POINTS code points in two or more documents lose their lines everywhere but
 `LineIndex` keeps shards as tables, so documents can be inserted and deleted later and decisions follow.
 
 Defined cases: a null or empty text is one empty line; a null doc_id comes after all others; rows with the same doc_id
-are one document; lines that repeat inside one document only all stay; a very long line is one key; other columns are
-carried by `clean` unless they are named like its outputs; an empty table gives an empty result.
+are one document; lines that repeat inside one document only all stay; ties cannot arise (the smallest doc_id keeps a
+line); a very long line is one key; other columns are carried by `clean` unless they are named like its outputs (in place,
+all of them are); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .common import cut, table
+from .common import cut, pieces, table
 from .textops import BYTES, BYTES2, LOWER, NO_DOC, Texts, mix
 
 U64 = np.uint64
@@ -107,13 +108,20 @@ class CuckooFilter:
     def delete(self, h: np.ndarray) -> None:
         """Take out keys that were inserted."""
         f, i = self._place(h)
-        for x, a, b in zip(f.tolist(), i.tolist(), self._other(f, i).tolist(), strict=True):
-            for row in (a, b):
-                at = np.flatnonzero(self.t[row] == x)
-                if len(at):
-                    self.t[row, at[0]] = 0
-                    self.n -= 1
-                    break
+        while len(f):
+            for _ in (0, 1):
+                # of keys with one fingerprint and bucket, one a turn
+                _, one = np.unique(i << 16 | f, return_index=True)
+                hit = self.t[i[one]] == f[one, None]
+                found = hit.any(1)
+                self.t[i[one[found]], hit[found].argmax(1)] = 0
+                self.n -= int(found.sum())
+                rest = np.ones(len(f), bool)
+                rest[one[found]] = False
+                f, i = f[rest], i[rest]
+                i = self._other(f, i)
+            if not found.any() and len(one) == len(f):
+                return  # what is left was never inserted
 
 
 class Shard:
@@ -204,13 +212,17 @@ def _entries(batch: ex.Batch, buckets: int):
     return lines, b[new], k[new], k2[new], d[new], count, entry
 
 
-def clean(docs: DataFrame, total: int | None = None, digest: bool = False) -> DataFrame:
-    """One row per row of docs: its columns but text, n_lines, n_dropped and kept (the lines that stay), or its digest."""
+def clean(docs: DataFrame, total: int | None = None, digest: bool = False, in_place: bool = False) -> DataFrame:
+    """One row per row of docs: its columns but text, n_lines, n_dropped and kept (the lines that stay), or its digest.
+
+    In place, the rows have the columns of docs, whatever their names, and the lines that stay are their text.
+    """
     mine = ["n_lines", "n_dropped", "kept_sha256" if digest else "kept"]
-    keep = [f for f in docs.schema if f.name.lower() not in (*mine, "text", "_b")]
+    keep = [f for f in docs.schema if f.name.lower() != "text" and (in_place or f.name.lower() not in mine)]
     total = ex.text_bytes(docs) if total is None else total
     buckets = max(total // (64 * ex.BUCKET_KEYS), 8)
-    batches = ex.batched(docs.select(*(f.name for f in keep), "text"), total)
+    # carried columns travel under names of their own
+    batches = ex.batched(docs.select(*(F.col(f"`{f.name}`").alias(f"_k{i}") for i, f in enumerate(keep)), F.col("doc_id").cast("long").alias("doc_id"), "text"), total)
 
     def send(batch):
         _, bucket, key, key2, doc, count, _ = _entries(batch, buckets)
@@ -234,39 +246,47 @@ def clean(docs: DataFrame, total: int | None = None, digest: bool = False) -> Da
         texts = [kept[i : j - 1] if cut_one and j > i else kept[i:j] for i, j, cut_one in zip(cuts[:-1].tolist(), cuts[1:].tolist(), open_end.tolist(), strict=True)]
         dropped = np.bincount(lines.doc[gone], minlength=len(batch.ids))
         last = pa.array([hashlib.sha256(t).hexdigest() for t in texts] if digest else [t.decode("utf-8", "replace") for t in texts], pa.string())
-        return pa.table([*(batch.rows.column(f.name) for f in keep), pa.array(lines.n.astype(np.int64)), pa.array(dropped.astype(np.int64)), last], names=[*(f.name for f in keep), *mine])
+        return pa.table([*(batch.rows.column(f"_k{i}") for i in range(len(keep))), pa.array(lines.n.astype(np.int64)), pa.array(dropped.astype(np.int64)), last], names=names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"n_lines long, n_dropped long, {mine[2]} string"])
-    return ex.finish(batches, ex.ask(batches, send, decide, buckets), run, schema)
+    names = [*(f"_k{i}" for i in range(len(keep))), "n_lines", "n_dropped", "last"]
+    schema = ", ".join([*(f"_k{i} {f.dataType.simpleString()}" for i, f in enumerate(keep)), "n_lines long, n_dropped long, last string"])
+    out = ex.finish(batches, ex.ask(batches, send, decide, buckets), run, schema)
+    back = {f.name: F.col(f"_k{i}").alias(f.name) for i, f in enumerate(keep)}
+    if in_place:
+        return out.select(*(back.get(c, F.col("last").alias(c)) for c in docs.columns))
+    return out.select(*back.values(), "n_lines", "n_dropped", F.col("last").alias(mine[2]))
 
 
 class LineIndex:
     """A persistent, reversible index: refs (shard, k1, k2, doc_id), one row per key and document, and a filter per shard.
 
-    The reference count of a key is the number of its refs. Every method returns a new index; nothing is collected.
+    The reference count of a key is the number of its refs. Every method returns a new index; nothing is collected. The
+    number of shards is fixed when the index is made, from the bytes of text that it is to hold.
     """
 
-    SHARDS = 16
+    SHARD_BYTES = 64 << 20
     REFS = "shard long, k1 long, k2 long, doc_id long"
     FILTERS = "shard long, slots binary"
 
-    def __init__(self, refs: DataFrame, filters: DataFrame):
-        self.refs, self.filters = refs, filters
+    def __init__(self, refs: DataFrame, filters: DataFrame, shards: int):
+        self.refs, self.filters, self.shards = refs, filters, shards
 
     @classmethod
-    def empty(cls, spark: SparkSession) -> LineIndex:
-        return cls(spark.createDataFrame([], cls.REFS), spark.range(cls.SHARDS).select(F.col("id").alias("shard"), F.lit(CuckooFilter().t.tobytes()).alias("slots")))
+    def empty(cls, spark: SparkSession, size: int = 0) -> LineIndex:
+        shards = max(size // cls.SHARD_BYTES, 16)
+        return cls(spark.createDataFrame([], cls.REFS), spark.range(shards).select(F.col("id").alias("shard"), F.lit(CuckooFilter().t.tobytes()).alias("slots")), shards)
+
+    def keys(self, docs: DataFrame) -> DataFrame:
+        shards = self.shards
 
-    @classmethod
-    def keys(cls, docs: DataFrame) -> DataFrame:
         def run(batches):
-            for b in batches:
+            for b in pieces(batches):
                 t = Lines(Texts(b.column("text")))
                 ids = b.column("doc_id").fill_null(NO_DOC).take(pa.array(t.doc[t.at]))
-                shard = (t.key >> U64(32)) % U64(cls.SHARDS)
+                shard = (t.key >> U64(32)) % U64(shards)
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(t.key.view(np.int64)), pa.array(t.key2.view(np.int64)), ids], ["shard", "k1", "k2", "doc_id"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, cls.REFS).distinct()
+        return docs.select("doc_id", "text").mapInArrow(run, self.REFS).distinct()
 
     def _filters(self, keys: DataFrame, add: bool) -> DataFrame:
         """Filters with distinct keys added or deleted."""
@@ -313,13 +333,13 @@ class LineIndex:
         at = ["shard", "k1", "k2"]
         fresh = probed.filter("not maybe").select(*at).union(probed.filter("maybe").select(*at).join(self.refs.select(*at), at, "left_anti"))
         refs = cut(self.refs.union(probed.drop("maybe").join(self.refs, [*at, "doc_id"], "left_anti").select(*at, "doc_id")))
-        return LineIndex(refs, cut(self._rebuilt(refs, self._filters(fresh, True))))
+        return LineIndex(refs, cut(self._rebuilt(refs, self._filters(fresh, True))), self.shards)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         at = ["shard", "k1", "k2"]
         refs = cut(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*at, "doc_id"))
         gone = self.refs.select(*at).distinct().join(refs.select(*at), at, "left_anti")
-        return LineIndex(refs, cut(self._filters(gone, False)))
+        return LineIndex(refs, cut(self._filters(gone, False)), self.shards)
 
     def counts(self) -> DataFrame:
         """k1, k2, documents, keeper for keys in two or more documents."""

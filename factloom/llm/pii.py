@@ -14,8 +14,8 @@ which tables of the most frequent terms and entities (FREQUENT at most) tell for
 of a document's entities and rare terms.
 
 Defined cases: a null or empty text has no spans; ties cannot arise; repeated rows give repeated results (and count each);
-a null doc_id keeps its base spans; extra columns are ignored by `find`, kept by `sanitise`; an empty table gives an
-empty result; very long texts are read whole.
+a null doc_id keeps its base spans; extra columns are ignored by `find`, kept by `sanitise`, whatever their names; an empty
+table gives an empty result; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, stored, table
+from .common import pieces, private, small_batches, stored, table
 from .textops import LOWER, Rolling, Texts, ranges
 
 U64 = np.uint64
@@ -272,7 +272,8 @@ def holders(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame, body, schema: str) -> DataFrame:
     """body(record batch, list of spans for each row) -> record batch, over docs with the columns it had."""
     small_batches(docs.sparkSession)
-    hints = holders(docs, disclosing(docs)).groupBy("doc_id").agg(F.collect_set("term").alias("_hints"))
+    own_name = private(docs, "_hints")
+    hints = holders(docs, disclosing(docs)).groupBy("doc_id").agg(F.collect_set("term").alias(own_name))
     hints = stored(hints, "pii-hints")  # only documents with a disclosing term; its size decides how it is joined
 
     def run(batches):
@@ -282,14 +283,14 @@ def with_spans(docs: DataFrame, body, schema: str) -> DataFrame:
             for i, (_, own) in base.items():
                 spans[i] = own
             words = {}
-            for i in np.flatnonzero(np.asarray(b.column("_hints").is_valid())).tolist():
+            for i in np.flatnonzero(np.asarray(b.column(own_name).is_valid())).tolist():
                 text = b.column("text")[i].as_py()
                 words[i] = [(m.group(), *m.span()) for m in TERM.finditer(blanked(text, spans[i]))]
             names = list({w for x in words.values() for w, _, _ in x})
             lower = Texts(pa.array([w.lower() for w in names], pa.large_string()))
             key = dict(zip(names, HASH.spans(LOWER[lower.data], lower.offsets[:-1], lower.offsets[1:]).view(np.int64).tolist(), strict=True))
             for i, x in words.items():
-                hint = set(b.column("_hints")[i].as_py())
+                hint = set(b.column(own_name)[i].as_py())
                 spans[i] = spans[i] + [(4, a, z) for w, a, z in x if key[w] in hint]
             yield body(b, spans)
 

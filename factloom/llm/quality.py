@@ -1,8 +1,8 @@
 """Operator 10, quality rules: a threshold table compiled into one projection, without user functions.
 
 Defined cases: a null or empty text has no words and fails; ties cannot arise; a repeated row is judged by itself;
-other columns of the input are carried through unless they clash with an output column, which then wins;
-an empty table gives an empty result.
+other columns of the input are carried through, whatever their names, unless they clash with an output column, which then
+wins; very long texts are judged whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, without
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
@@ -59,43 +59,46 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     Each text's 8-word windows are hashed inside its own row (64 bits); no shuffle, no Python.
     """
     mine = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stop_words", "n_word_lines"]
-    keep = [c for c in docs.columns if c.lower() not in mine]
+    keep = without(docs, *mine)
+    own = "_q"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     a = docs.select(
         *keep,
-        F.split(t, SPACE).alias("_parts"),
-        F.length(t).alias("_chars"),
+        F.split(t, SPACE).alias(own + "parts"),
+        F.length(t).alias(own + "chars"),
         (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))).alias("n_symbols"),
-        F.transform(lines, lambda x: F.xxhash64(x)).alias("_lines"),
+        F.transform(lines, lambda x: F.xxhash64(x)).alias(own + "lines"),
     )
     # each separator is one character, so the parts count them; empty parts lie between neighbouring separators
-    a = a.withColumn("_h", F.transform(F.filter("_parts", lambda w: w != ""), lambda w: F.xxhash64(w)))
-    a = a.withColumn("_chars", F.col("_chars") - (F.size("_parts") - 1)).drop("_parts")
-    n = F.size("_h")
-    b = a.withColumn("_win", F.col("_h"))
+    a = a.withColumn(own + "h", F.transform(F.filter(own + "parts", lambda w: w != ""), lambda w: F.xxhash64(w)))
+    a = a.withColumn(own + "chars", F.col(own + "chars") - (F.size(own + "parts") - 1)).drop(own + "parts")
+    n = F.size(own + "h")
+    b = a.withColumn(own + "win", F.col(own + "h"))
     for shift in (1, 2, 4):  # hashes of 2, then 4, then 8 words; the last seven are too short and go
-        b = b.withColumn("_win", F.expr(f"transform(_win, (x, i) -> xxhash64(x, get(_win, i + {shift})))"))
-    b = b.withColumn("_win", F.slice("_win", F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(0))))
-    stop = F.filter("_h", lambda h: h.isin(*[F.xxhash64(F.lit(w)) for w in STOP_FORMS]))
+        b = b.withColumn(own + "win", F.expr(f"transform({own}win, (x, i) -> xxhash64(x, get({own}win, i + {shift})))"))
+    b = b.withColumn(own + "win", F.slice(own + "win", F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(0))))
+    stop = F.filter(own + "h", lambda h: h.isin(*[F.xxhash64(F.lit(w)) for w in STOP_FORMS]))
     b = b.withColumn("stop_words", F.size(stop).cast("long"))
     # windows found twice or more are neighbours in the sorted list; most texts have none and are not sorted
-    positions = F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    c = b.withColumn("_sorted", F.when(F.size(F.array_distinct("_win")) < F.size("_win"), F.sort_array(positions)))
-    c = c.withColumn("_at", F.filter("_sorted", lambda x, k: F.coalesce(F.get("_sorted", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_sorted", k + 1)["h"] == x["h"], F.lit(False))))
-    c = c.withColumn("_at", F.sort_array(F.transform("_at", lambda x: x["i"])))
+    positions = F.transform(own + "win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    c = b.withColumn(own + "sorted", F.when(F.size(F.array_distinct(own + "win")) < F.size(own + "win"), F.sort_array(positions)))
+    c = c.withColumn(own + "at", F.filter(own + "sorted", lambda x, k: F.coalesce(F.get(own + "sorted", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(own + "sorted", k + 1)["h"] == x["h"], F.lit(False))))
+    c = c.withColumn(own + "at", F.sort_array(F.transform(own + "at", lambda x: x["i"])))
     # words covered by those windows: each start adds its distance to the one before, a window at most
-    covered = F.aggregate("_at", F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("last")), lambda s, p: F.struct((s["sum"] + F.least(F.lit(WINDOW), p - s["last"])).alias("sum"), p.alias("last")), lambda s: s["sum"])
-    repeat = F.when(F.col("_sorted").isNull(), F.lit(0)).otherwise(covered)
+    covered = F.aggregate(own + "at", F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("last")), lambda s, p: F.struct((s["sum"] + F.least(F.lit(WINDOW), p - s["last"])).alias("sum"), p.alias("last")), lambda s: s["sum"])
+    repeat = F.when(F.col(own + "sorted").isNull(), F.lit(0)).otherwise(covered)
     d = c.select(
         *keep,
         n.cast("long").alias("n_words"),
-        F.col("_chars").cast("long").alias("word_chars"),
+        F.col(own + "chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(own + "lines") - F.size(F.array_distinct(own + "lines"))).cast("long").alias("n_dup_lines"),
         repeat.cast("long").alias("n_repeat_words"),
         "stop_words",
-        F.size("_lines").cast("long").alias("n_word_lines"),
+        F.size(own + "lines").cast("long").alias("n_word_lines"),
     )
     d = d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     return d.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))

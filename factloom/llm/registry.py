@@ -23,7 +23,11 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Personal data, tokens, classifiers and packing have none: the tests hold them against brute force."""
+    """Personal data, tokens, classifiers and packing have none.
+
+    The tests hold personal data, packing and the classifiers' kernels and noisy-or against brute force, tokens against the
+    library of the vocabulary's format, and the classifiers' quality against held-out rows.
+    """
     return {
         "op1_embedding_dedup": embeddings.SQL,
         "op3_substring_dedup": substrings.SQL,

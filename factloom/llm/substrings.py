@@ -7,8 +7,9 @@ noted anchors are hashed in full (96 bits), which extends the match; a window is
 starts it too. Every word that a copy covers goes.
 
 Defined cases: a null or empty text has no words; a null doc_id comes after all others; rows with the same doc_id are
-one document's rows, and none is a copy of another; repeated rows give repeated results; other columns are
-ignored; an empty table gives an empty result.
+one document's rows, and none is a copy of another; repeated rows give repeated results; ties cannot arise (the
+smallest doc_id keeps a window); other columns are ignored, whatever their names; very long texts are processed whole; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def _entries(batch: ex.Batch, words: Words, starts: np.ndarray, buckets: int):
 
 def plan(docs: DataFrame, total: int | None = None):
     """The batches, the answers that they get, and the work on a batch: ids, n_words, n_removed, kept bytes."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = ex.text_bytes(docs) if total is None else total
     # about 6 bytes a word: 3 of 7 words are anchors; a third of the words may start noted windows
     buckets = max(total // 6 * 3 // 7 // ex.BUCKET_KEYS, 4)

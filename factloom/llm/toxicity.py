@@ -7,7 +7,8 @@ rows). Then the sentences that carry a document's score can be located.
 
 Defined cases: a null or empty text has no sentence and score 0; documents labelled more than once count with their
 highest label; null labels do not count; if a class is missing all scores are 0; repeated rows give repeated results;
-an empty table gives an empty result; very long texts are scored whole.
+a score of the threshold itself counts as toxic; further columns are carried, but one named score is replaced; an empty
+table gives an empty result; very long texts are scored whole.
 """
 
 from __future__ import annotations

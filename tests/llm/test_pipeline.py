@@ -10,6 +10,23 @@ from factloom.llm.common import stored
 DATA = "/root/testdata/sf0.001"
 
 
+def test_stages_on_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars int, kept string, score double, _hints int, _b string, lang_pred string"
+    text = "the quick words of a plain english text that goes on and on for some time"
+    rows = [(i, f"{text} {i}\nmail boss{i}@corp.example", "en", "s", 5, "k", 0.5, 1, "b", "p") for i in range(30)]
+    rows += [(100, None, None, None, None, None, None, None, None, None), (None, text, "en", None, 1, None, None, None, None, None), (101, "", "en", "s", 0, "k", 0.5, 1, "b", "p"), rows[0]]
+    rows += [(102, text * 3000, "en", "s", 5, "k", 0.5, 1, "b", "p")]
+    for start in (rows, []):
+        docs = spark.createDataFrame(start, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stored(stage(spark, docs, DATA), "test-odd")
+            assert [f.name for f in docs.schema] == [x.split()[0] for x in schema.split(", ")]
+        left = docs.collect()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).select("doc_id").distinct().count() == len({r.doc_id for r in left})
+        assert bool(left) == bool(start)
+        assert all((r.kept, r.score, r["_hints"], r["_b"], r.lang_pred) == ("k", 0.5, 1, "b", "p") for r in left if r.doc_id is not None)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, seen = docs.columns, {}
