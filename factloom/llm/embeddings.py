@@ -149,7 +149,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("d", F.size("embedding")), "embedding-classes")  # written, so numbers stay
     total = classes.agg(F.sum("n")).first()[0] or 0
     sizes = classes.groupBy("label", "d").agg(F.count("*").alias("m"))
-    sizes = sizes.select("label", "d", "m", F.ceil(F.greatest(F.col("m") / bucket, F.col("m") * F.col("d") / BUCKET_BYTES)).alias("buckets"))
+    sizes = cut(sizes.select("label", "d", "m", F.ceil(F.greatest(F.col("m") / bucket, F.col("m") * F.col("d") / BUCKET_BYTES)).alias("buckets")))
     quantised = stored(codes(classes), "embedding-codes")  # both steps see the same codes, so a pair is decided once
     dealt = join_counted(quantised, sizes, ["label", "d"], "m", classes.count()).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("buckets")))
     task = ["label", "d", "p", "q"]
@@ -172,9 +172,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
     links = both.groupBy("cid").agg(F.sum("links").alias("links"))
     linked = components(both.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("cid"), "component")
     linked = cut(linked.join(classes.select("cid", "least"), "cid"))
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    least = cut(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c")))
     named = join_counted(linked.select("cid", "component"), least, ["component"], "c", linked.count()).select("cid", "component_id")
-    info = classes.select("cid", "label", "embedding", "least", "n").join(links, "cid", "left").join(named, "cid", "left")
+    known = cut(links.join(named, "cid", "left"))
+    info = classes.select("cid", "label", "embedding", "least", "n").join(known, "cid", "left")
     info = info.select("label", "embedding", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     good_rows = join_counted(good, info, ["label", "embedding"], "n", total).select("vec_id", "n_links", "component_id")
     out = good_rows.union(v.filter(~fine).select("vec_id", F.lit(0).cast("long"), "vec_id"))

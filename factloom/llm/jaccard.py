@@ -37,7 +37,7 @@ from .textops import BYTES, Rolling, Texts, min_labels, mix, ranges
 
 U64 = np.uint64
 WORDS, THRESHOLD = 5, 0.8
-FAN, LIMIT = 2, 256
+FAN, LIMIT = 2, 512
 RECALL = 0.9999
 MISS = 0.0625
 """A run's chance to lose a pair at the threshold."""
@@ -190,32 +190,39 @@ def brute_force(rows: pa.Table) -> pa.Table:
 
 
 def probe(rows: pa.Table) -> pa.Table:
-    """Sketch links between the probes (side 0) and the members (side 1) of a tile of a node: edges of a spanning forest."""
+    """Sketch links of the probes (side 0) with the members (side 1) of a tile of a node: (node, probe, member)."""
     ids, n, sk = sketches(rows)
     member = rows.column("side").to_numpy() == 1
     left, right = np.flatnonzero(~member), np.flatnonzero(member)
-    label = np.arange(len(ids))
+    out = [np.zeros((0, 2), np.int64)]
     for a in left.tolist():
-        b = right[(label[right] != label[a]) & (np.minimum(n[right], n[a]) >= THRESHOLD * np.maximum(n[right], n[a]))]
+        b = right[np.minimum(n[right], n[a]) >= THRESHOLD * np.maximum(n[right], n[a])]
         hit = b[(sk[b] == sk[a]).mean(1) >= floor_of(n[b], n[a])]
-        if len(hit):
-            old = np.unique(np.append(label[hit], label[a]))
-            label[np.isin(label, old)] = old[0]
-    return forest(ids, label)
+        out.append(np.stack([np.full(len(hit), ids[a]), ids[hit]], axis=1))
+    out = np.concatenate(out)
+    node = rows.column("node")[0].as_py() if rows.num_rows else 0
+    return pa.table([pa.array(np.full(len(out), node, np.int64)), pa.array(out[:, 0]), pa.array(out[:, 1])], names=["node", "probe", "member"])
+
 
+def linked_in(rows: pa.Table) -> pa.Table:
+    """The same as edges of a spanning forest (u, v)."""
+    hits = probe(rows)
+    a, b = hits.column("probe").to_numpy(), hits.column("member").to_numpy()
+    ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return forest(ids, min_labels(len(ids), code[: len(a)], code[len(a) :]))
 
-def against(members: DataFrame, parts, probes: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges between the probes (cid, node, m, q of parts) and all members (cid, node, m) of their nodes."""
-    tiles = F.ceil(F.col("m") / PROBE_TILE)
-    right = members.select("cid", "node", F.pmod(F.xxhash64("cid"), tiles).alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("q"), F.lit(1).alias("side"))
-    left = probes.select("cid", "node", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"), "q", F.lit(0).alias("side"))
-    return left.unionByName(right).join(reps, "cid").groupBy("node", "tile", "q").applyInArrow(probe, "u long, v long")
+
+def tiled(members: DataFrame, parts, probes: DataFrame):
+    """The probes (cid, node, m, n, sketch, q of parts) with all members of their nodes, by tile and part."""
+    tiles, own = F.ceil(F.col("m") / PROBE_TILE), ["cid", "node", "n", "sketch"]
+    right = members.select(*own, F.pmod(F.xxhash64("cid"), tiles).alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("q"), F.lit(1).alias("side"))
+    left = probes.select(*own, F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"), "q", F.lit(0).alias("side"))
+    return left.unionByName(right).groupBy("node", "tile", "q")
 
 
 def families(classes: DataFrame) -> DataFrame:
     """(node cid, component) of classes that have a sketch link, by the join's runs."""
     shards = 4 * parallelism(classes.sparkSession)
-    reps = classes.select("cid", "n", "sketch")
     visits, edges, level = classes.select("cid", F.explode(F.array_distinct("nodes")).alias("node"), F.lit(0).cast("long").alias("parent")), [], 1
     while True:
         counts = cut(visits.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1"))
@@ -223,43 +230,50 @@ def families(classes: DataFrame) -> DataFrame:
         if not total:
             break
         placed = cut(join_counted(visits, counts, ["node"], "m", total))
-        small = placed.filter(F.col("m") <= LIMIT).select("cid", "node").join(reps, "cid")
+        if level == 1:  # from here on the classes of open nodes carry what is needed of them
+            placed = placed.join(classes.select("cid", "n", "sketch"), "cid")
+        small = placed.filter(F.col("m") <= LIMIT).select("cid", "node", "n", "sketch")
         edges.append(small.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(shards))).groupBy("_s").applyInArrow(brute_force, "u long, v long"))
         if most <= LIMIT:
             break
         large = placed.filter(F.col("m") > LIMIT)
         if level > 1:
             stuck = large.filter(F.col("m") >= KEEP * F.col("parent"))
-            if not stuck.isEmpty():
-                more, rest = compared(stuck, reps)
+            size = stuck.count()
+            if size:
+                more, rest = compared(stuck, size)
                 edges += more
                 large = large.filter(F.col("m") < KEEP * F.col("parent")).unionByName(rest)
         bins = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(BINS)) for k in range(FAN)]
         below = F.array(*[F.xxhash64("node", F.lit(k), F.substring("sketch", 2 * b + 1, F.lit(2))) for k, b in enumerate(bins)])
-        visits = cut(large.join(reps, "cid").select("cid", F.explode(below).alias("node"), F.col("m").alias("parent")))
+        visits = cut(large.select("cid", F.explode(below).alias("node"), F.col("m").alias("parent"), "n", "sketch"))
         level += 1
-    if not edges:
-        return classes.select(F.col("cid").alias("node"), F.col("cid").alias("component")).limit(0)
-    out = edges[0]
-    for e in edges[1:]:
+    out = classes.select(F.col("cid").alias("u"), F.col("cid").alias("v")).limit(0)
+    for e in edges:
         out = out.union(e)
     return components(out)
 
 
-def compared(stuck: DataFrame, reps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Edges of nodes (cid, node, m, parent) that a split did not make smaller, and the nodes that are to be split on."""
-    total = stuck.count()
+def compared(stuck: DataFrame, size: int) -> tuple[list[DataFrame], DataFrame]:
+    """Edges of nodes (cid, node, m, parent, n, sketch) that a split did not make smaller, and the nodes to be split on.
+
+    Some members are compared with all; the one that most are linked with is the node's pivot. Pairs of members that are
+    linked with the pivot are of one family; the others are compared with all members.
+    """
     drawn = stuck.filter(F.pmod(F.xxhash64("cid", "node"), F.lit(1 << 30)) < F.lit(PROBES << 30) / F.col("m")).withColumn("q", F.lit(0).cast("long"))
-    first = cut(against(stuck, F.lit(1).cast("long"), drawn, reps))
-    label = components(first).withColumnRenamed("node", "cid")
-    known = cut(stuck.join(label, "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component"))
-    main = known.groupBy("node", "label", "m").agg(F.count("*").alias("c")).groupBy("node", "m").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("c"))
-    known = cut(join_counted(known.drop("m"), main, ["node"], "m", total))
+    hits = cut(tiled(stuck, F.lit(1).cast("long"), drawn).applyInArrow(probe, "node long, probe long, member long"))
+    pivots = hits.groupBy("node", "probe").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("probe", F.struct("c", "probe")).alias("probe"), F.max("c").alias("c"))
+    sizes = stuck.groupBy("node").agg(F.first("m").alias("m"))
+    pivots = cut(sizes.join(pivots, "node", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long"))))
+    known = join_counted(stuck.drop("m"), pivots, ["node"], "m", size)
+    own = hits.select("node", "probe", F.col("member").alias("cid"), F.lit(True).alias("linked"))
+    known = cut(known.join(own, ["node", "probe", "cid"], "left"))
     whole = (F.col("m") <= BRUTE) | (2 * F.col("c") >= F.col("m"))
     parts = F.ceil((F.col("m") - F.col("c")) / PROBE_TILE)
-    others = known.filter(whole & (F.col("label") != F.col("main"))).withColumn("q", F.pmod(F.xxhash64("cid", F.lit(7)), parts))
-    rest = known.filter(~whole).select("cid", "node", "parent", "m")
-    return [first, against(known.filter(whole & (F.col("c") < F.col("m"))), parts, others, reps)], rest
+    others = known.filter(whole & F.col("linked").isNull()).withColumn("q", F.pmod(F.xxhash64("cid", F.lit(7)), parts))
+    rest = known.filter(~whole).select("cid", "node", "parent", "n", "sketch", "m")
+    near = known.filter("linked").select(F.col("cid").alias("u"), F.col("probe").alias("v"))
+    return [near, tiled(known.filter(whole & (F.col("c") < F.col("m"))), parts, others).applyInArrow(linked_in, "u long, v long")], rest
 
 
 def exact_pairs(rows: pa.Table) -> pa.Table:
@@ -341,7 +355,7 @@ def join(docs: DataFrame) -> DataFrame:
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     family = cut(families(classes).join(classes.select(F.col("cid").alias("node"), "mult", "n"), "node"))
     total, size = family.agg(F.count("*"), F.sum("n")).first()
-    sizes = family.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    sizes = cut(family.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("size")))
     shards = max(4 * parallelism(spark), 8 * (size or 0) // (2 * TILE_BYTES))
     put = join_counted(family, sizes, ["component"], "m", total).withColumn("tiles", F.ceil(F.greatest(F.col("m") / TILE, 8 * F.col("size") / TILE_BYTES)))
     put = put.withColumn("i", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
@@ -355,10 +369,10 @@ def join(docs: DataFrame) -> DataFrame:
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("cid"), "component")
     linked = cut(linked.join(classes.select("cid", "doc_id"), "cid"))
-    least = linked.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c"))
+    least = cut(linked.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c")))
     named = join_counted(linked.select("cid", "component"), least, ["component"], "c", linked.count()).select("cid", "class_id")
     info = classes.select("cid", "k1", "k2", "mult", F.col("doc_id").alias("own")).join(links, "cid", "left").join(named, "cid", "left")
-    info = info.select("k1", "k2", "mult", F.coalesce("class_id", "own").alias("class_id"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = cut(info.select("k1", "k2", "mult", F.coalesce("class_id", "own").alias("class_id"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     out = join_counted(sets.select("doc_id", "k1", "k2"), info, ["k1", "k2"], "mult", sets.count()).select("doc_id", "class_id", "n_links")
     without = rows.filter(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return out.union(without.select("doc_id", "doc_id", F.lit(0).cast("long")))
