@@ -29,10 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+ROWS_A_TASK = 1 << 15
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder, which outlives executors."""
+    """Cut the lineage by a checkpoint in the shared folder, which outlives executors.
+
+    What is small is then read by few tasks, whatever number of partitions it was made in: each of them would write a file of
+    its own in every exchange to come.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    return out.coalesce(1 + out.count() // ROWS_A_TASK)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
