@@ -16,6 +16,7 @@ SYNC_IO = "readFileSync writeFileSync appendFileSync existsSync statSync lstatSy
 QUERY = "query findMany findUnique findFirst findOne findAll find create createMany update updateMany upsert delete deleteMany save insert insertOne updateOne deleteOne execute aggregate".split()
 DB_ROOTS = "db prisma pool client knex sequelize connection conn pg mysql mongo collection repository repo orm".split()
 CORE_MODULES = "assert buffer child_process cluster crypto dgram dns events fs http http2 https net os path perf_hooks process querystring readline stream string_decoder timers tls tty url util v8 vm worker_threads zlib".split()
+DB_WRITE = "create createMany update updateMany upsert delete deleteMany save insert insertOne updateOne deleteOne destroy".split()
 LLM_CALLS = r"\b(openai|anthropic|llm|ai|genai|cohere|mistral)\b.*\.(create|generate|generateText|generateContent|invoke|complete|chat)$"
 SECRET_NAME = r"(?i)(password|passwd|secret|token|api[_-]?key|private[_-]?key|credential)"
 TAINT = r"\b(req|request|ctx\.request|ctx|event)\.(body|query|params|headers|cookies|url)\b"
@@ -64,7 +65,7 @@ RULES = (
     CodeRule("no-throw-literal", "Thrown value is not an Error", B, "warn", "kind = 'throw' AND get(arg_kinds, 0) IN ('string', 'number', 'template', 'object')"),
     CodeRule("no-oversized-timer-delay", "Timer delay overflows 32 bits", B, "error", "kind = 'call' AND name IN ('setTimeout', 'setInterval') AND try_cast(replace(get(args, 1), '_', '') AS DOUBLE) > 2147483647"),
     CodeRule("no-out-of-range-exit-code", "Exit code outside 0-255 is masked", B, "error", "kind = 'call' AND name = 'process.exit' AND NOT coalesce(try_cast(get(args, 0) AS INT) BETWEEN 0 AND 255, true)"),
-    CodeRule("no-sparse-array-iteration", "Iterating a pre-sized array, whose holes are skipped", B, "error", "kind = 'call' AND " + _re("name", r"^Array\(\)\.(map|forEach|filter|reduce)$")),
+    CodeRule("no-sparse-array-iteration", "Iterating a pre-sized array, whose holes are skipped", B, "error", f"{CALL} AND " + _re("name", r"^Array\(\)\.(map|forEach|filter|reduce)$")),
     CodeRule("no-string-length-as-content-length", "Content-Length from a character count", B, "error", "(kind = 'prop' AND lower(name) = 'content-length' AND " + _re("value", r"\.length$") + " AND NOT " + _re("value", r"(?i)buffer|byte") + ") OR (kind = 'call' AND method IN ('setHeader', 'header', 'set') AND lower(get(args, 0)) = 'content-length' AND " + _re("get(args, 1)", r"\.length$") + " AND NOT " + _re("get(args, 1)", r"(?i)buffer|byte") + ")"),
     CodeRule("no-constant-condition", "Condition can never vary", B, "warn", "kind = 'loop' AND " + _re("value", r"^while\s*\(\s*(false|0|null|undefined)\s*\)")),
     CodeRule("no-dirname-in-esm", "__dirname in an ES module is a ReferenceError", B, "error", "kind = 'ident' AND name IN ('__dirname', '__filename')", requires=("esm",)),
@@ -145,6 +146,38 @@ RULES = (
     CodeRule("ai-call-in-loop", "Model call inside a loop", P, "warn", "kind = 'call' AND " + _re("name", LLM_CALLS) + " AND in_loop", requires=("ai",)),
     CodeRule("require-llm-token-limit", "Model call with no output limit", P, "warn", "kind = 'call' AND " + _re("name", LLM_CALLS) + " AND NOT exists(keys, k -> k IN ('max_tokens', 'maxTokens', 'max_output_tokens', 'maxOutputTokens', 'max_completion_tokens', '...'))", requires=("ai",), opt_in=True),
     CodeRule("no-prompt-injection", "Untrusted input in a prompt", S, "error", "kind = 'call' AND " + _re("name", LLM_CALLS) + f" AND {TAINTED}", requires=("ai",)),
+    CodeRule("no-unguarded-llm-json-parse", "Model output parsed without error handling", R, "error", "kind = 'call' AND name = 'JSON.parse' AND NOT in_try AND " + _re("get(args, 0)", r"(?i)\b(completion|response|result|message|choice|output|llm|model)\w*\??(\.|\[).*(content|text|output)"), requires=("ai",)),
+    CodeRule("no-system-prompt-leak", "System prompt sent to the caller", S, "warn", "kind = 'call' AND root IN ('res', 'response', 'reply', 'ctx', 'c') AND method IN ('json', 'send', 'end', 'text') AND exists(idents, i -> i RLIKE '(?i)^system_?prompt')", requires=("ai",)),
+    CodeRule("mcp-tool-unrestricted-capability", "Tool runs a powerful operation on model input", S, "error", "kind = 'call' AND method IN ('tool', 'registerTool', 'addTool') AND exists(args, a -> a RLIKE '\\\\b(exec|execSync|spawn|eval|writeFile|writeFileSync|unlink|rm|query)[(]')", requires=("mcp",)),
+    # values and promises
+    CodeRule("no-bigint-precision-loss", "BigInt coerced to a number", B, "warn", "kind = 'call' AND name IN ('Number', 'parseInt', 'parseFloat') AND " + _re("get(args, 0)", r"^(\d[\d_]*n|BigInt\()")),
+    CodeRule("no-broken-sort-comparator", "Comparator that cannot order", B, "error", "kind = 'call' AND method IN ('sort', 'toSorted') AND " + _re("get(args, 0)", r"=>\s*(\(?[\w.\[\]]+\s*[<>]=?\s*[\w.\[\]]+\)?|Math\.random\(\)\s*[-<>].*|(true|false|0|1))$")),
+    CodeRule("no-tofixed-as-number", "A toFixed string added to a number", B, "warn", "kind IN ('assign', 'return') AND " + _re("value", r"\.toFixed\([^)]*\)\s*\+\s*\d|\d\s*\+\s*[\w.]+\.toFixed\(")),
+    CodeRule("no-unclonable-worker-message", "Function posted to a worker", B, "error", "kind = 'call' AND method = 'postMessage' AND (get(arg_kinds, 0) IN ('function', 'async_function') OR (get(arg_kinds, 0) = 'object' AND " + _re("get(args, 0)", r"=>|\bfunction\b") + "))", opt_in=True),
+    CodeRule("no-unreachable-code", "Code after a statement that ends the block", B, "warn", "kind IN ('return', 'throw') AND literals['prev'] IN ('{', '}', ';') AND NOT literals['next'] IN ('}', '', 'case', 'default', 'function', 'async', ')', ',')"),
+    CodeRule("no-dropped-abort-signal", "Abort signal accepted and not passed on", R, "warn", "kind = 'call' AND name = 'fetch' AND array_contains(fn_params, 'signal') AND NOT array_contains(idents, 'signal')"),
+    CodeRule("no-infinite-retry-without-backoff", "Retry loop without a bound or a pause", R, "error", "kind = 'loop' AND " + _re("value", r"^while\s*\(\s*(true|1)\s*\)|^for\s*\(\s*;\s*;\s*\)") + " AND array_contains(idents, 'catch') AND NOT exists(idents, i -> i RLIKE '(?i)^(sleep|wait|break|pause)|settimeout|delay|backoff')"),
+    CodeRule("no-unhandled-pipe-error", "Chained pipes without an error handler", R, "warn", "kind = 'call' AND " + _re("name", r"pipe\(\)\.pipe$")),
+    CodeRule("no-unchecked-required-env", "Environment value used as if always set", R, "warn", "kind IN ('call', 'member') AND " + _re("name", r"^process\.env\.[A-Z_][A-Z0-9_]*\.\w+"), requires=("node",), opt_in=True),
+    CodeRule("no-liveness-check-with-dependency", "Liveness check that asks a dependency", R, "warn", "kind = 'call' AND method = 'get' AND " + _re("get(args, 0)", r"(?i)^/(healthz|livez|liveness|health/live)$") + " AND exists(args, a -> a RLIKE '(?i)\\\\b(db|prisma|redis|pool|client|mongoose|knex)[.]')"),
+    # responses
+    CodeRule("graphql-resolver-returns-raw-error", "Error stack returned by a resolver", S, "warn", "kind = 'return' AND in_catch AND coalesce(catch_param, '') <> '' AND value LIKE concat('%', catch_param, '.stack%')"),
+    CodeRule("no-xss-in-html-response", "Caller input written into HTML", S, "error", "kind = 'call' AND root IN ('res', 'response', 'reply', 'c') AND method IN ('send', 'end', 'write', 'html') AND interpolated AND " + _re("get(args, 0)", r"<\w+") + f" AND {TAINTED0}"),
+    CodeRule("no-state-change-on-get", "State changed by a GET route", S, "warn", "kind = 'call' AND method = 'get' AND root IN ('app', 'router', 'fastify', 'server') AND get(args, 0) LIKE '/%' AND exists(args, a -> a RLIKE '[.](" + "|".join(DB_WRITE) + ")[(]')"),
+    CodeRule("no-unawaited-adonis-auth-check", "Authentication check used without await", S, "error", "kind = 'call' AND " + _re("name", r"\bauth(\.use\(\))?\.(check|authenticate|isAuthenticated)$") + " AND NOT awaited AND NOT handled AND value <> 'return'", requires=("adonis",)),
+    # more security
+    CodeRule("no-prototype-pollution", "Caller's object merged deeply", S, "error", f"kind = 'call' AND (name IN ('_.merge', '_.mergeWith', '_.defaultsDeep', 'lodash.merge', 'merge', 'deepmerge', 'extend') AND {TAINTED} OR name = '$.extend' AND {TAINTED})"),
+    CodeRule("no-nondeterministic-stable-key", "Stable key made of a clock or chance", S, "warn", "kind = 'assign' AND " + _re("name", r"(?i)(idempotency_?key|cache_?key|dedupe_?key|etag)$") + " AND " + _re("value", r"Date\.now\(|Math\.random\(|randomUUID\(|new Date\(\)")),
+    CodeRule("no-unanchored-security-regex", "Security pattern that is not anchored", S, "error", "kind = 'assign' AND " + _re("name", r"(?i)(origin|host|domain|redirect|allow\w*)(_?(re|regex|pattern))?$") + " AND value LIKE '/%' AND NOT " + _re("value", r"^/\^.*\$/[a-z]*$")),
+    CodeRule("no-unsafe-archive-extraction", "Archive entry's name joined to a path", S, "error", "kind = 'call' AND name IN ('path.join', 'path.resolve') AND exists(args, a -> a RLIKE '\\\\b(entry|header|file|zipEntry)[.](path|fileName|entryName|name)$')"),
+    # tests and stubs
+    CodeRule("no-assertion-free-test", "Test without an assertion", M, "warn", "kind = 'call' AND name IN ('it', 'test') AND exists(arg_kinds, k -> k IN ('function', 'async_function')) AND NOT exists(idents, i -> i RLIKE '(?i)^(expect|assert|should|verify)')", opt_in=True),
+    CodeRule("no-flaky-test-pattern", "Test that depends on a clock or chance", M, "warn", "kind = 'call' AND name IN ('Math.random', 'setTimeout') AND " + _re("file", r"\.(test|spec)\.[cm]?[jt]sx?$"), opt_in=True),
+    CodeRule("no-redundant-try-catch-rethrow", "Catch that only throws again", M, "warn", "kind = 'catch' AND CAST(literals['tokens'] AS INT) BETWEEN 2 AND 3 AND array_contains(idents, 'throw') AND coalesce(value, '') <> '' AND array_contains(idents, value)"),
+    CodeRule("no-unimplemented-stub", "Stub that throws", M, "warn", "kind = 'throw' AND " + _re("value", r"(?i)\b(not (yet )?implemented|unimplemented|todo)\b")),
+    CodeRule("no-dead-async", "Async function that awaits nothing", M, "warn", "kind = 'function' AND value = 'async' AND literals['awaits'] = 'false' AND literals['tokens'] <> '0' AND NOT exists(idents, i -> i = 'return')", opt_in=True),
+    CodeRule("high-cyclomatic-complexity", "Function with too many paths", M, "warn", "kind = 'function' AND CAST(literals['complexity'] AS INT) > 15", opt_in=True),
+    CodeRule("deep-nesting", "Control flow nested too deeply", M, "warn", "kind = 'function' AND CAST(literals['depth'] AS INT) >= 5", opt_in=True),
     # maintainability
     CodeRule("no-console-log-in-committed-code", "console.log left in committed code", M, "warn", "kind = 'call' AND name IN ('console.log', 'console.debug')", opt_in=True, tests=False),
     CodeRule("prefer-node-protocol-imports", "Core module without the node: protocol", M, "warn", f"kind = 'import' AND {_in('name', CORE_MODULES)}", opt_in=True),
@@ -224,12 +257,113 @@ def relational_findings(facts: DataFrame) -> DataFrame:
     # a reused global regex
     sticky = f.filter("kind = 'assign' AND value RLIKE '/[a-z]*[gy][a-z]*$' AND value LIKE '/%'").withColumn("root", F.regexp_extract("name", r"(\w+)$", 1)).select("norm_path", "root").distinct()
     out.append(put(calls.filter("method = 'test'").join(sticky, ["norm_path", "root"], "left_semi"), "no-stateful-global-regex-test"))
+    out += [put(df, name) for name, df in _pairs(f, calls, files)]
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
     return res
 
 
+def _pairs(f: DataFrame, calls: DataFrame, files) -> list[tuple[str, DataFrame]]:
+    """More rules that compare facts of a file: (id, the facts that are found)."""
+    place = ["norm_path", "pre"]
+    out = []
+
+    def missing(name: str, rows: DataFrame, evidence: str) -> None:
+        """Rows of files that hold no fact of this kind."""
+        out.append((name, rows.join(files(evidence), "norm_path", "left_anti")))
+
+    # what a file builds and never guards
+    missing("no-detached-child-without-unref", calls.filter("method IN ('spawn', 'fork') AND literals['detached'] = 'true'"), "kind = 'call' AND method = 'unref'")
+    missing("graphql-missing-depth-limit", f.filter("kind IN ('call', 'new') AND name IN ('ApolloServer', 'createYoga', 'graphqlHTTP')"), "exists(idents, i -> i RLIKE '(?i)depthlimit|complexity|costlimit|armor')")
+    missing("restify-missing-error-handler", calls.filter("name = 'restify.createServer'"), "kind = 'call' AND method = 'on' AND get(args, 0) RLIKE '(?i)error'")
+    missing("require-error-handling-middleware", calls.filter("name = 'app.listen'").join(files("kind = 'call' AND name = 'express'"), "norm_path", "left_semi"), "kind = 'function' AND size(args) = 4")
+    missing("no-chunk-string-concat", calls.filter("method = 'on' AND get(args, 0) = 'data' AND get(args, 1) RLIKE '[+]='"), "kind = 'call' AND method IN ('setEncoding', 'StringDecoder') OR kind = 'new' AND name = 'StringDecoder'")
+    sockets = f.filter("kind = 'assign' AND value RLIKE '^new (WebSocket|ws)[(]'").withColumn("root", F.regexp_extract("name", r"(\w+)$", 1))
+    guarded = calls.filter("method IN ('on', 'addEventListener') AND get(args, 0) = 'error'").select("norm_path", "root").union(f.filter("kind = 'assign' AND name LIKE '%.onerror'").select("norm_path", "root")).distinct()
+    out.append(("no-missing-websocket-error-handler", sockets.join(guarded, ["norm_path", "root"], "left_anti")))
+    taken = f.filter("kind = 'assign' AND value RLIKE '[.](connect|acquire|getConnection|reserve)[(][)]$'").withColumn("root", F.regexp_extract("name", r"(\w+)$", 1))
+    freed = calls.filter("method IN ('release', 'end', 'close', 'destroy')").select("norm_path", "root").distinct()
+    out.append(("no-unreleased-resource", taken.join(freed, ["norm_path", "root"], "left_anti")))
+    # a status and a body of one chain share their first token
+    status = calls.filter("name RLIKE '^(res|response|reply)[.](status|code)$'").select(*place, F.get("args", F.lit(0)).alias("_status"))
+    chained = calls.filter("method IN ('json', 'send', 'end') AND size(args) > 0").join(status, place)
+    out.append(("no-body-on-bodiless-status", chained.filter("_status IN ('204', '205', '304')")))
+    out.append(("no-error-response-with-success-status", chained.filter("_status RLIKE '^2[0-9][0-9]$' AND in_catch AND coalesce(catch_param, '') <> '' AND array_contains(idents, catch_param)")))
+    # order inside a function
+    handler = ["norm_path", "fn"]
+    passed = calls.filter("name = 'next' AND discarded AND size(args) = 0 AND fn >= 0").select(*handler, F.col("pre").alias("_next"))
+    sent = calls.filter("root IN ('res', 'response') AND method IN ('json', 'send', 'end', 'render')").join(passed, handler).filter("_next < pre")
+    out.append(("no-send-after-next", sent.dropDuplicates(["norm_path", "pre"])))
+    private = f.filter("kind = 'member' AND name RLIKE '^req[.](user|session|headers[.]authorization)'").select(*handler).distinct()
+    out.append(("no-shared-cache-authenticated-response", calls.filter("method IN ('set', 'setHeader', 'header') AND lower(get(args, 0)) = 'cache-control' AND get(args, 1) RLIKE '(?i)public|s-maxage'").join(private, handler, "left_semi")))
+    writes = calls.filter(_in("method", DB_WRITE) + " AND awaited AND fn >= 0")
+    made = f.filter("kind = 'assign' AND fn >= 0 AND value RLIKE '^await .*[.](create|insert|insertOne|save|upsert)[(]'").select(*handler, F.regexp_extract("name", r"(\w+)$", 1).alias("_made"), F.col("post").alias("_end"))
+    later = writes.join(made, handler).filter("_end < pre AND array_contains(idents, _made)").dropDuplicates(["norm_path", "pre"])
+    missing("no-untransacted-dependent-writes", later, "kind = 'call' AND method IN ('$transaction', 'transaction')")
+    # names that a module and its functions share
+    shared = f.filter("kind = 'assign' AND fn = -1 AND literals['declared'] = 'let'").select("norm_path", "name").distinct()
+    out.append(("no-cross-request-state-mutation", f.filter(f"kind = 'assign' AND fn >= 0 AND literals['declared'] = '' AND {HANDLER}").join(shared, ["norm_path", "name"], "left_semi")))
+    functions = f.filter("kind = 'function' AND coalesce(name, '') <> ''")
+    asynchronous = functions.filter("value = 'async'").select("norm_path", "name").distinct()
+    out.append(("no-floating-promise", calls.filter("discarded AND NOT awaited AND NOT handled").join(asynchronous, ["norm_path", "name"], "left_semi")))
+    started = f.filter("kind = 'function' AND value = 'async'").select("norm_path", F.col("pre").alias("_pre"))
+    iife = calls.filter("coalesce(name, '') = '' AND discarded AND NOT handled AND NOT in_try").join(started, "norm_path").filter("_pre BETWEEN pre AND pre + 1")
+    guarded_body = f.filter("kind = 'try'").select("norm_path", F.col("pre").alias("_try"))
+    out.append(("no-missing-catch-on-async-iife", iife.join(guarded_body, (iife.norm_path == guarded_body.norm_path) & (F.col("_try") > F.col("pre")) & (F.col("_try") < F.col("post")), "left_anti")))
+    # routes below a path that a middleware guards by its exact name only
+    mounts = calls.filter("method = 'use' AND root = 'app' AND get(args, 0) LIKE '/%' AND NOT get(args, 0) LIKE '%*%' AND size(args) > 1").withColumn("_mount", F.get("args", F.lit(0)))
+    below = calls.filter("method IN ('get', 'post', 'put', 'patch', 'delete') AND root = 'app' AND get(args, 0) LIKE '/%'").select("norm_path", F.get("args", F.lit(0)).alias("_path"))
+    hono = mounts.join(files("kind = 'import' AND name = 'hono'"), "norm_path", "left_semi")
+    out.append(("no-hono-exact-path-middleware", hono.join(below, "norm_path").filter("startswith(_path, concat(_mount, '/'))").dropDuplicates(["norm_path", "pre"])))
+    # model output that reaches a dangerous call, and agent loops without a bound
+    answers = f.filter("kind = 'assign' AND " + _re("value", r"^await\s+" + LLM_CALLS.replace("$", r"\("))).select("norm_path", F.regexp_extract("name", r"(\w+)$", 1).alias("_answer")).distinct()
+    sinks = f.filter("kind IN ('call', 'new') AND (name IN ('eval', 'Function', 'exec', 'execSync') OR method IN ('exec', 'execSync', 'query', 'raw'))")
+    out.append(("no-llm-output-in-sink", sinks.join(answers, "norm_path").filter("array_contains(idents, _answer)").dropDuplicates(["norm_path", "pre"])))
+    endless = f.filter("kind = 'loop' AND " + _re("value", r"^while\s*\(\s*(true|1)\s*\)|^for\s*\(\s*;\s*;\s*\)") + " AND NOT array_contains(idents, 'break') AND NOT array_contains(idents, 'return')")
+    models = calls.filter(_re("name", LLM_CALLS)).select("norm_path", F.col("pre").alias("_call"))
+    out.append(("no-unbounded-agent-loop", endless.join(models, "norm_path").filter("pre <= _call AND _call <= post").dropDuplicates(["norm_path", "pre"])))
+    # caller input handed to a helper of the file, whose parameter reaches a sink
+    given = calls.select(*place, "line", "col", "name", F.posexplode("args").alias("_k", "_arg")).filter(_re("_arg", TAINT))
+    helpers = functions.select("norm_path", "name", F.col("pre").alias("_lo"), F.col("post").alias("_hi"), F.posexplode("args").alias("_k", "_param"))
+    dangerous = f.filter("kind IN ('call', 'new') AND (name IN ('eval', 'Function', 'exec', 'execSync') OR method IN ('exec', 'execSync', 'query', 'raw', '$queryRawUnsafe'))").select("norm_path", F.col("pre").alias("_sink"), F.col("idents").alias("_used"))
+    reached = given.join(helpers, ["norm_path", "name", "_k"]).join(dangerous, "norm_path").filter("_lo < _sink AND _sink < _hi AND array_contains(_used, _param)")
+    out.append(("no-tainted-sink-via-helper", reached.dropDuplicates(["norm_path", "pre"])))
+    return out
+
+
+def call_edges(facts: DataFrame) -> DataFrame:
+    """(file, src, dst): which function (its first token) calls which function of its file, by name."""
+    f = facts.filter("kind = 'function'").select("file", F.row_number().over(Window.partitionBy("file").orderBy("pre", F.desc("post"))).alias("_n"), F.col("pre").alias("dst"), "name")
+    calls = facts.filter("kind = 'call' AND fn >= 0").select("file", (F.col("fn") + 1).alias("_n"), "name")
+    callers = f.select("file", "_n", F.col("dst").alias("src"))
+    return calls.join(f.filter("coalesce(name, '') <> ''").select("file", "name", "dst"), ["file", "name"]).join(callers, ["file", "_n"]).select("file", "src", "dst").distinct()
+
+
+def reachable_sync_io(facts: DataFrame) -> DataFrame:
+    """(norm_path, line, col, diagnostic) of blocking calls in functions that a request handler reaches through calls."""
+    from factloom.operators import graph
+
+    key = lambda c: F.concat_ws("#", "file", c)
+    edges = call_edges(facts).select(key("src").alias("src"), key("dst").alias("dst"))
+    handler = facts.filter("kind = 'function' AND exists(args, p -> p IN ('req', 'request', 'ctx'))").select(key("pre").alias("node")).distinct()
+    reached = graph.reach(graph.clean_edges(edges), handler).filter("depth > 0").select("node")
+    owner = facts.filter("kind = 'function'").select("file", F.row_number().over(Window.partitionBy("file").orderBy("pre", F.desc("post"))).alias("_n"), key("pre").alias("node"))
+    calls = facts.filter(f"kind = 'call' AND {_in('method', SYNC_IO)} AND fn >= 0").withColumn("_n", F.col("fn") + 1).join(owner, ["file", "_n"])
+    return calls.join(reached, "node", "left_semi").join(handler, "node", "left_anti").select(F.col("file").alias("norm_path"), "line", "col", F.lit("no-sync-io-reachable-from-handler").alias("diagnostic"))
+
+
+def circular_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """(norm_path, line, col, diagnostic) of imports whose target reaches the importing file."""
+    from factloom.operators import graph
+
+    edges = import_edges(facts, files)
+    ring = graph.strong_components(edges)
+    inside = edges.join(ring.select(F.col("node").alias("src"), F.col("component").alias("_a")), "src").join(ring.select(F.col("node").alias("dst"), F.col("component").alias("_b")), "dst").filter("_a = _b")
+    first = facts.filter("kind = 'import' AND value <> 'type' AND name LIKE '.%'").groupBy(F.col("file").alias("src")).agg(F.min(F.struct("line", "col")).alias("at"))
+    return inside.select("src").distinct().join(first, "src").select(F.col("src").alias("norm_path"), "at.line", "at.col", F.lit("no-circular-imports").alias("diagnostic"))
+
+
 def import_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(src, dst) between files: relative imports resolved by candidate names, the first that exists."""
     i = facts.filter("kind = 'import' AND value <> 'type' AND name LIKE '.%'").select(F.col("file").alias("src"), F.col("name").alias("spec")).distinct()

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder; a folder of this machine serves a local master only."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()
 
 
@@ -46,31 +50,52 @@ def blast_radius(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return reach(back, changed).filter("depth > 0")
 
 
-def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """All pairs (src, dst) with a path from src to dst. Path lengths double each round."""
-    paths = cut(clean_edges(edges))
-    n, rounds = paths.count(), 0
-    while n and (most is None or 2**rounds < most):
-        rounds += 1
-        longer = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))
-        paths = cut(paths.union(longer).distinct())
-        now = paths.count()
-        if now == n:
+def smallest_above(edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that reaches each node, itself included. Only nodes that changed pass theirs on."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    known = changed = cut(nodes.withColumn("colour", F.col("node")))
+    while not changed.isEmpty():
+        offered = edges.join(changed.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+        changed = cut(known.join(offered, "node").filter("offer < colour").select("node", F.col("offer").alias("colour")))
+        known = cut(known.join(changed.select("node", F.col("colour").alias("_c")), "node", "left").select("node", F.coalesce("_c", "colour").alias("colour")))
+    return known
+
+
+def strong_components(edges: DataFrame, trims: int = 3) -> DataFrame:
+    """(node, component, size) for components of more than one node; a component is named by its smallest node.
+
+    Every node takes the smallest node that reaches it as its colour. The nodes that reach their colour's node inside the
+    colour are its component; no component crosses colours, so edges between them go, and what is left is done again.
+    Nodes without a way in or out are trimmed first. No pairs of nodes are made.
+    """
+    e, found = cut(clean_edges(edges)), []
+    while True:
+        for _ in range(trims):
+            e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        e = cut(e)
+        if e.isEmpty():
             break
-        n = now
-    return paths
-
-
-def cycle_edges(edges: DataFrame, closed: DataFrame) -> DataFrame:
-    """Edges (src, dst) of which dst reaches src."""
-    return clean_edges(edges).join(closed.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-
-
-def strong_components(closed: DataFrame) -> DataFrame:
-    """(node, component, size) for components of more than one node; a component is named by its smallest node."""
-    both = closed.filter("src <> dst").join(closed.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-    c = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
-    return c.join(c.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
+        colour = smallest_above(e)
+        same = e.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst").filter("_a = _b").select("src", "dst")
+        same = cut(same)
+        back = reach(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.filter("node = colour").select("node"))
+        part = cut(back.select("node").join(colour, "node").select("node", F.col("colour").alias("component")))
+        found.append(part)
+        done = part.select("node")
+        e = same.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    if not found:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
+    c = found[0]
+    for part in found[1:]:
+        c = c.union(part)
+    return c.join(c.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1"), "component").select("node", "component", "size")
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) that lie on a cycle: both ends in one strong component."""
+    c = strong_components(edges).select("node", "component")
+    e = clean_edges(edges).join(c.select(F.col("node").alias("src"), F.col("component").alias("_a")), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("_b")), "dst")
+    return e.filter("_a = _b").select("src", "dst")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

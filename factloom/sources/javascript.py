@@ -67,6 +67,11 @@ def tokens_of(text: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, in
     return out, comments
 
 
+BRANCHES = frozenset(("if", "for", "while", "case", "catch", "&&", "||", "??", "?"))
+CONTROL = frozenset(("if", "else", "for", "while", "do", "switch", "try", "catch"))
+"""Tokens that add a path through a function, and those that may open a block of control flow."""
+
+
 def unquoted(token: str) -> str:
     return token[1:-1] if token[:1] in "\"'`" else token
 
@@ -273,9 +278,28 @@ def facts_of(file: str, text: str) -> list[dict]:
         out.append(row | more)
         return out[-1]
 
-    for f in s.functions:
+    def around(i: int, e: int) -> dict:
+        """The tokens before a statement that begins at i and after one that ends before e."""
+        return {"prev": s.x(i - 1), "next": s.x(e + 1 if s.x(e) == ";" else e)}
+
+    inner = [{j for g in s.functions if f["lo"] < g["start"] and g["hi"] <= f["hi"] and g is not f for j in range(g["start"], g["hi"] + 1)} for f in s.functions]
+    for f, apart in zip(s.functions, inner, strict=True):
         body = [s.x(j) for j in range(f["lo"] + 1, f["hi"])]
-        add("function", f["start"], f["hi"], name=f["name"], args=f["params"], value="async" if f["async"] else "", literals={"tokens": str(len(body)), "lines": str(s.place(min(f["hi"], len(s.t) - 1))[0] - s.place(f["start"])[0] + 1), "block": str(f["block"]).lower()})
+        own = [j for j in range(f["lo"] + 1, f["hi"]) if j not in apart]
+        branches = sum(s.x(j) in BRANCHES and s.x(j - 1) != "." and not (s.x(j) == "?" and s.x(j + 1) in (":", ")", ",")) for j in own)
+        deep, open_at = 0, []
+        for j in own:  # blocks of control flow that hold each other
+            while open_at and j > open_at[-1]:
+                open_at.pop()
+            if s.x(j) in CONTROL and s.x(j - 1) not in (".", "else"):
+                k = j + 1
+                if s.x(k) == "(":
+                    k = s.close[k] + 1
+                if s.x(k) == "{":
+                    open_at.append(s.close[k])
+                    deep = max(deep, len(open_at))
+        awaits = any(s.x(j) == "await" for j in own)
+        add("function", f["start"], f["hi"], name=f["name"], args=f["params"], value="async" if f["async"] else "", literals={"tokens": str(len(body)), "lines": str(s.place(min(f["hi"], len(s.t) - 1))[0] - s.place(f["start"])[0] + 1), "block": str(f["block"]).lower(), "complexity": str(1 + branches), "depth": str(deep), "awaits": str(awaits).lower()})
     for kind in ("loop", "catch", "finally", "try"):
         for a, b, what in s.ranges[kind]:
             add(kind, max(a, 0), min(b, len(s.t) - 1), value=what, literals={"tokens": str(b - a - 1)})
@@ -353,12 +377,12 @@ def facts_of(file: str, text: str) -> list[dict]:
             add("assign", j, max(e - 1, i), name=s.src(j, i), root=s.x(j), method=x, value=unquoted(value) if e == i + 2 else value, arg_kinds=[s.kind_of(i + 1, e)], literals={"declared": word if word in ("const", "let", "var") else ""})
         elif x == "throw":
             e = s._end_of_expression(i + 1)
-            add("throw", i, e - 1, value=s.src(i + 1, e), arg_kinds=[s.kind_of(i + 1, e)])
+            add("throw", i, e - 1, value=s.src(i + 1, e), arg_kinds=[s.kind_of(i + 1, e)], literals=around(i, e))
         elif x in ("==", "===", "!=", "!==", "<", ">", "<=", ">="):
             add("compare", i, i, name=x, args=[s.x(i - 1), s.x(i + 1)])
         elif k == "ident" and x == "return":
             e = s._end_of_expression(i + 1)
-            add("return", i, max(e - 1, i), value=s.src(i + 1, e) if e > i + 1 else "")
+            add("return", i, max(e - 1, i), value=s.src(i + 1, e) if e > i + 1 else "", literals=around(i, e))
         elif k == "ident" and s.x(i + 1) in (".", "?.") and s.x(i - 1) not in (".", "?."):
             j = i
             while s.x(j + 1) in (".", "?.") and s.t[j + 2 : j + 3] and s.t[j + 2][0] == "ident":
