@@ -6,14 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SPANS = 64
+
+
 def multiset_anti(left: DataFrame, right: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
-    """Rows of left beyond as many of their key as right has; the first by pos are absolved.
+    """Rows of left beyond as many of their key as right has; the first by pos (a number) are absolved.
 
-    Right is pre-aggregated to one row per key before the join.
+    Right is pre-aggregated to one row per key before the join. Rows are ranked in SPANS spans of pos, and the rows of a
+    key's earlier spans are counted, so that a key that most rows have is not ranked by one task.
     """
     n = right.groupBy(*by).agg(F.count("*").alias("_n"))
-    ranked = left.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(pos)))
-    return ranked.join(n, by, "left").filter(F.col("_r") > F.coalesce("_n", F.lit(0))).drop("_r", "_n")
+    ends = left.agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))  # one row
+    span = F.floor((F.col(pos) - F.col("_lo")) / F.greatest((F.col("_hi") - F.col("_lo") + 1) / SPANS, F.lit(1))).cast("int")
+    spread = left.crossJoin(F.broadcast(ends)).withColumn("_s", span).drop("_lo", "_hi")
+    counts = spread.groupBy(*by, "_s").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    beyond = before.join(n, by, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(F.col("_b") + F.col("_c") > F.col("_n"))
+    ranked = spread.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(pos)))
+    return ranked.join(beyond, [*by, "_s"]).filter(F.col("_r") + F.col("_b") > F.col("_n")).select(*left.columns)
 
 
 def delta(base: DataFrame, current: DataFrame, key: str = "key", file: str = "file", pos: str = "pos") -> tuple[DataFrame, DataFrame]:

@@ -34,15 +34,15 @@ def rank_by_churn(findings: DataFrame, churned: DataFrame, path: str = "path", p
     return j.orderBy(F.desc("churn"), pos)
 
 
-def commit_index(log: DataFrame) -> DataFrame:
+def commit_index(log: DataFrame, repository: str | None = None) -> DataFrame:
     """Log text to (commit_index, author, path). log: (pos, line), headers are 'commit<TAB>author'.
 
-    Header carry-forward is a running count over the text's order; a log is one repository's, so one partition.
+    Header carry-forward is a running count over the text's order, inside each repository if that column is named.
     """
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = (Window.partitionBy(repository) if repository else Window.partitionBy(F.lit(0))).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     head = F.col("line").startswith("commit\t")
     r = log.withColumn("commit_index", F.sum(head.cast("int")).over(w) - 1).withColumn("author", F.last(F.when(head, F.regexp_extract("line", r"^commit\t(.*)$", 1)), ignorenulls=True).over(w))
-    return r.filter(~head & (F.col("line") != "")).select("commit_index", "author", F.col("line").alias("path"))
+    return r.filter(~head & (F.col("line") != "")).select(*([repository] if repository else []), "commit_index", "author", F.col("line").alias("path"))
 
 
 def owners(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:

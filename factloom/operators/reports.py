@@ -16,9 +16,9 @@ def missing_translations(keys: DataFrame) -> DataFrame:
     default = sizes.agg(F.min_by("locale", F.struct(-F.col("n"), F.when(F.col("locale") == "en", 0).otherwise(1), "locale")).alias("d"))
     k = keys.crossJoin(F.broadcast(default))  # one row
     base = k.filter("locale = d").select("key", placeholders(F.col("value")).alias("want")).dropDuplicates(["key"])
-    others = sizes.select("locale").crossJoin(F.broadcast(default)).filter("locale <> d").select("locale")
+    others = sizes.crossJoin(F.broadcast(default)).filter("locale <> d").agg(F.collect_set("locale").alias("locales"))  # the locales of a project
     have = k.filter("locale <> d").select("locale", "key", placeholders(F.col("value")).alias("got"))
-    wanted = others.withColumn("_one", F.lit(1)).join(base.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    wanted = base.crossJoin(F.broadcast(others)).select("key", "want", F.explode("locales").alias("locale"))
     j = wanted.join(have, ["locale", "key"], "left")
     problem = F.when(F.col("got").isNull(), "missing").when(F.col("got") != F.col("want"), "placeholders")
     return j.withColumn("problem", problem).filter("problem is not null").select("locale", "key", "problem")

@@ -20,7 +20,7 @@ def effective_setting(setting: Column, override: Column, severity: Column) -> Co
 def select_rules(rules: DataFrame, caps: Column, settings: DataFrame | None = None, typed: bool = False, tags: list[str] | None = None) -> DataFrame:
     """Active rules with their severity. settings: (id, setting)."""
     out = rules.filter(capability_gate(caps, F.col("requires"), F.col("requires_any"), F.col("disabled_when")))
-    out = out.join(F.broadcast(settings), "id", "left") if settings is not None else out.withColumn("setting", F.lit(None).cast("string"))
+    out = out.join(settings, "id", "left") if settings is not None else out.withColumn("setting", F.lit(None).cast("string"))
     out = out.filter(F.coalesce("setting", F.lit("")) != "off").filter(~F.col("opt_in") | F.col("setting").isNotNull())
     if not typed and "typed" in rules.columns:
         out = out.filter(~F.col("typed"))
@@ -35,7 +35,7 @@ def confidence(explicit: Column, opt_in: Column, severity: Column) -> Column:
 
 def override_settings(files: DataFrame, overrides: DataFrame) -> DataFrame:
     """(path, id, setting): the last override whose pattern holds the path. overrides: (ordinal, pattern, id, setting), a config."""
-    return files.select("path").join(F.broadcast(overrides), F.rlike(F.col("path"), F.col("pattern"))).groupBy("path", "id").agg(F.max_by("setting", "ordinal").alias("setting"))
+    return files.select("path").join(overrides, F.rlike(F.col("path"), F.col("pattern"))).groupBy("path", "id").agg(F.max_by("setting", "ordinal").alias("setting"))
 
 
 def apply_overrides(findings: DataFrame, settings: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def apply_overrides(findings: DataFrame, settings: DataFrame) -> DataFrame:
 
 
 def file_context(path: Column, text: Column) -> Column:
-    """test, script or source."""
+    """test, script or source. The patterns of paths."""
     return (
         F.when(path.rlike(r"(?i)(^|/)(__tests__|__mocks__)(/|$)|\.(test|spec)\.[cm]?[jt]sx?$|(^|/)tests?/"), "test")
         .when(text.startswith("#!") | path.rlike(r"(?i)(^|/)(bin|cli|scripts?)/") | path.rlike(r"(?i)(^|/)cli\.[cm]?[jt]s$"), "script")
@@ -54,7 +54,7 @@ def file_context(path: Column, text: Column) -> Column:
 
 
 def vendored(text: Column) -> Column:
-    """A licence banner or module wrapper at the head, or a long line in the head of a large file."""
+    """A licence banner or module wrapper at the head, or a long line in the head of a large file. Its limits."""
     head = F.substring(text, 1, 4096)
     probe = F.substring(text, 1, 8192)
     long_line = F.exists(F.split(probe, "\n"), lambda x: F.length(x) >= 2000)

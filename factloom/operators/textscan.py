@@ -47,6 +47,8 @@ LINE_RULES = (
     TextRule("no-committed-private-key", "Committed private key", "Security", "error", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", "A private key is committed.", KEYS, first_only=True),
     TextRule("ci-unpinned-action", "Action pinned to a mutable tag or branch", "Security", "warn", r"^\s*(?:-\s*)?uses:\s*['\"]?[\w.-]+/[\w./-]+@\S+", "The action follows a mutable ref.", WORKFLOWS, unless=r"@[0-9a-f]{40,64}\b|\$\{\{", opt_in=True, tags=("ci", "supply-chain"), max_bytes=256 * 1024),
     TextRule("ci-script-injection", "Untrusted context interpolated into a run block", "Security", "error", r"\$\{\{\s*github\.(event\.(issue|pull_request|comment|review|head_commit)[\w.]*(title|body|message|name|email|ref)|head_ref)\b", "Attacker-controlled text reaches a shell.", WORKFLOWS, unless=r"toJSON\(", max_bytes=256 * 1024),
+    TextRule("ci-pull-request-target-checkout", "Privileged workflow checks out the proposed code", "Security", "error", r"^\s*ref:\s*['\"]?\$\{\{\s*github\.(event\.pull_request\.head\.(sha|ref)|head_ref)", "Untrusted code runs with the base's secrets.", WORKFLOWS, file_gate=r"(?m)^\s*(on:.*)?\bpull_request_target\b", max_bytes=256 * 1024),
+    TextRule("k8s-missing-resource-limits", "Containers without resource limits", "Reliability", "warn", r"^\s*containers:\s*$", "A container can starve its node.", ("**/*.yml", "**/*.yaml"), file_gate=r"(?s)\A(?=.*^?\s*kind:\s*(Deployment|StatefulSet|DaemonSet|Pod|Job|CronJob)\b)(?!.*\blimits:)", opt_in=True),
     TextRule("k8s-host-namespace", "Pod shares a host namespace", "Security", "error", r"^\s*(hostNetwork|hostPID|hostIPC):\s*true\b", "The pod shares a host namespace.", ("**/*.yml", "**/*.yaml"), file_gate=r"(?m)^kind:\s*(?!DaemonSet)\w+"),
     TextRule("k8s-privileged-container", "Container runs privileged", "Security", "error", r"^\s*(privileged|allowPrivilegeEscalation):\s*true\b", "The container has the node's rights.", ("**/*.yml", "**/*.yaml"), file_gate=r"(?m)^kind:\s*\w+"),
     TextRule("dockerfile-copies-dotenv-into-image", "Dotenv file copied into an image layer", "Security", "error", r"(?i)^\s*(COPY|ADD)\s+(?:--\S+\s+)*(?:\S+\s+)*?(?:\S*/)?\.env(?:\.(?!example|sample|template|dist)\w+)?\s+\S+", "A dotenv file becomes part of the image.", ("**/Dockerfile*", "**/*.dockerfile", "Dockerfile*")),
@@ -60,8 +62,8 @@ LINE_RULES = (
 )
 
 
-def line_findings(texts: DataFrame, rules: tuple[TextRule, ...], path: str = "path", text: str = "text") -> DataFrame:
-    """(path, diagnostic, title, category, severity, line, col, message, evidence) of all line rules."""
+def line_findings(texts: DataFrame, rules: tuple[TextRule, ...], path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, diagnostic, title, category, severity, line, col, message, evidence) of all line rules, after columns to keep."""
     hits = []
     for r in rules:
         gate = F.octet_length(text) <= r.max_bytes
@@ -75,8 +77,8 @@ def line_findings(texts: DataFrame, rules: tuple[TextRule, ...], path: str = "pa
             found = F.slice(found, 1, 1)
         made = F.transform(found, _maker(r))
         hits.append(F.when(gate, made).otherwise(F.array().cast("array<struct<diagnostic:string,title:string,category:string,severity:string,message:string,line:int,col:int,evidence:string>>")))
-    lines = texts.select(path, text, F.transform(F.split(text, "\n"), _with_number).alias("_lines"))
-    return lines.select(path, F.explode(F.flatten(F.array(*hits))).alias("x")).select(path, "x.*")
+    lines = texts.select(path, *keep, text, F.transform(F.split(text, "\n"), _with_number).alias("_lines"))
+    return lines.select(path, *keep, F.explode(F.flatten(F.array(*hits))).alias("x")).select(path, *keep, "x.*")
 
 
 def _tester(r: TextRule):
@@ -95,6 +97,30 @@ def _with_number(x: Column, i: Column) -> Column:
     return F.struct((i + 1).cast("int").alias("line"), x.alias("evidence"))
 
 
+def overbroad_iam(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """Finding rows of block_iam."""
+    return block_iam(texts, path, text).select(F.col(path).alias("norm_path"), "line", F.lit(1).alias("col"), F.lit("no-overbroad-iam-policy").alias("diagnostic"))
+
+
+def open_ingress(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """no-open-security-group: a range that is open to the world with a port for administration 6 lines before to 5 after."""
+    world, port = r"0\.0\.0\.0/0|::/0", r"(?i)\b(from_port|to_port|FromPort|ToPort)[\"']?\s*[:=]\s*(22|3389|3306|5432|6379|27017)\b"
+    lines = F.transform(F.split(F.regexp_replace(text, r"(?m)(#|//).*$", ""), "\n"), lambda x: x)
+    t = texts.filter(F.col(path).rlike(any_glob(list(IAC)))).select(path, lines.alias("_l"))
+    t = t.select(path, "_l", F.explode(F.filter(F.sequence(F.lit(1), F.size("_l")), lambda i: F.element_at("_l", i).rlike(world))).alias("line"))
+    around = F.array_join(F.slice("_l", F.greatest(F.col("line") - 6, F.lit(1)), F.least(F.col("line") - 1, F.lit(6)) + 6), "\n")
+    outward = around.rlike(r"(?i)\begress\b")
+    return t.filter(around.rlike(port) & ~outward).select(F.col(path).alias("norm_path"), "line", F.lit(1).alias("col"), F.lit("no-open-security-group").alias("diagnostic"))
+
+
+def unindexed_foreign_keys(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """migration-missing-index-on-foreign-key: a column that a file's foreign key names and none of its indexes begins with."""
+    keys = F.regexp_extract_all(text, F.lit(r"(?i)FOREIGN\s+KEY\s*\(\s*[\"`]?(\w+)[\"`]?\s*\)"), 1)
+    indexes = F.regexp_extract_all(text, F.lit(r"(?i)INDEX\s+[^;]*?\(\s*[\"`]?(\w+)"), 1)
+    t = texts.filter(F.col(path).rlike(any_glob(list(MIGRATIONS)))).select(path, F.explode(F.array_except(F.transform(keys, F.lower), F.transform(indexes, F.lower))).alias("column"))
+    return t.select(F.col(path).alias("norm_path"), "column", F.lit("migration-missing-index-on-foreign-key").alias("diagnostic"))
+
+
 def block_iam(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Lines that allow every action on every resource: the 25 lines from an Allow, cut at the next one."""
     lines = F.split(F.regexp_replace(text, r"(?m)(#|//).*$", ""), "\n")
@@ -123,3 +149,19 @@ def sensitive_file(path: Column, text: Column) -> Column:
         .when(text.rlike("-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"), "key")
         .when(F.exists(F.split(text, "\n"), lambda x: x.rlike(secret) & ~x.rlike(placeholder)), "secret")
     )
+
+
+def text_findings(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(norm_path, line, diagnostic) of all text rules, line by line and structural."""
+    from factloom.sources import files
+
+    out = line_findings(texts, LINE_RULES, path, text).select(F.col(path).alias("norm_path"), "line", "diagnostic")
+    docker = files.dockerfile(texts.filter(F.col(path).rlike(r"(^|/)Dockerfile[^/]*$|\.dockerfile$")).select(F.col(path).alias("path"), F.col(text).alias("text")))
+    more = [
+        overbroad_iam(texts, path, text), open_ingress(texts, path, text), unindexed_foreign_keys(texts, path, text).withColumn("line", F.lit(1)), files.runs_as_root(docker),
+        conflicting_dependencies(texts, path, text).select(F.col(path).alias("norm_path"), F.lit(1).alias("line"), F.lit("no-conflicting-dependency-declaration").alias("diagnostic")),
+        files.mutable_base_images(docker).select(F.col("path").alias("norm_path"), "line", F.lit("dockerfile-mutable-base-tag").alias("diagnostic")),
+    ]
+    for m in more:
+        out = out.unionByName(m.select("norm_path", F.col("line").cast("int").alias("line"), "diagnostic"))
+    return out

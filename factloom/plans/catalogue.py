@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
-from factloom.operators import delta, findings, graph, history, rulekit, scoring, selection, suggest
+from factloom.operators import delta, findings, graph, history, rulekit, scoring, selection, suggest, textscan
 from factloom.sources import javascript
 from factloom.streaming import incremental
 
@@ -96,10 +96,9 @@ SCAN = [
 
 
 def scan_lines(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
-    hits = F.array(*[F.struct(F.lit(i).alias("diagnostic"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.col("_t").rlike(p).alias("hit")) for i, c, s, p in SCAN])
-    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("line", "_t"))
-    return lines.select("doc_id", "source", (F.col("line") + 1).alias("line"), F.explode(F.filter(hits, lambda h: h["hit"])).alias("h")).select("doc_id", "source", "line", "h.diagnostic", "h.category", "h.severity")
+    rules = tuple(textscan.TextRule(i, i, c, s, p, i, max_bytes=1 << 62) for i, c, s, p in SCAN)
+    docs = table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    return textscan.line_findings(docs, rules, keep=("doc_id", "source")).select("doc_id", "source", "line", "diagnostic", "category", "severity")
 
 
 SCANSQL = "l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS t, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM documents), s AS (" + " UNION ALL ".join(f"SELECT doc_id, source, line::INT AS line, '{i}' AS diagnostic, '{c}' AS category, '{s}' AS severity FROM l WHERE regexp_matches(t, '{p}')" for i, c, s, p in SCAN) + ")"
@@ -423,8 +422,12 @@ def q41(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in REGISTRY.items()}
+    from factloom.plans import report_queries  # noqa: F401
+
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in REGISTRY.items()}
+    from factloom.plans import report_queries  # noqa: F401
+
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}

@@ -51,7 +51,7 @@ def capabilities(manifests: DataFrame, tokens: DataFrame, text: str = "text") ->
     m = F.from_json(text, "dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>, type string")
     dep = F.map_entries(F.map_concat(*[F.coalesce(m[k], F.create_map().cast("map<string,string>")) for k in ("peerDependencies",)]))
     each = manifests.select("path", F.explode_outer(F.concat(dep, *[F.coalesce(F.map_entries(m[k]), F.array().cast("array<struct<key:string,value:string>>")) for k in ("dependencies", "devDependencies")])).alias("d"), m["type"].alias("type"))
-    j = each.join(F.broadcast(tokens), F.col("d.key") == F.col("package"), "left")
+    j = each.join((tokens), F.col("d.key") == F.col("package"), "left")
     major = F.regexp_extract("d.value", r"(\d+)", 1)
     own = F.when(F.col("token").isNotNull(), F.when(major != "", F.array(F.col("token"), F.concat("token", F.lit(":"), major))).otherwise(F.array("token"))).otherwise(F.array().cast("array<string>"))
     return j.groupBy("path").agg(F.array_sort(F.array_distinct(F.concat(F.flatten(F.collect_list(own)), F.array(F.lit("node"), F.max(F.when(F.col("type") == "module", "esm").otherwise("cjs")))))).alias("capabilities"))
@@ -151,3 +151,25 @@ def mutable_base_images(instructions: DataFrame) -> DataFrame:
     f = f.withColumn("image_key", F.lower("image")).join(names, ["path", "image_key"], "left_anti")
     tag = F.regexp_extract("image", r":([^/:]+)$", 1)
     return f.filter(~F.col("image").contains("@") & ~F.col("image").contains("$") & (F.col("image_key") != "scratch")).filter((tag == "") | tag.rlike(r"(?i)(^|-)latest$")).select("path", "line", "image")
+
+
+def users(instructions: DataFrame) -> DataFrame:
+    """(path, stage, line, user) of each build stage: its last USER, else what the stage that it builds on has, else null."""
+    from factloom.operators.graph import scope_closure
+
+    start = instructions.filter("op = 'FROM'")
+    image = F.lower(F.regexp_extract("args", r"^(?:--\S+\s+)*(\S+)", 1))
+    named = start.select("path", F.lower(F.regexp_extract("args", r"(?i)\sAS\s+(\S+)\s*$", 1)).alias("image"), F.col("stage").alias("base")).filter("image <> ''")
+    key = lambda c: F.concat_ws("#", "path", c)
+    stages = start.select("path", "stage", "line", image.alias("image")).join(named, ["path", "image"], "left").filter("base is null or base < stage")
+    parents = stages.groupBy("path", "stage", "line").agg(F.max("base").alias("base")).select("path", "stage", "line", key("stage").alias("scope"), F.when(F.col("base").isNotNull(), key("base")).alias("parent"))
+    last = instructions.filter("op = 'USER'").groupBy(key("stage").alias("ancestor")).agg(F.max_by("args", "ordinal").alias("user"))
+    near = scope_closure(parents.select("scope", "parent")).join(last, "ancestor").groupBy("scope").agg(F.min_by("user", "dist").alias("user"))
+    return parents.join(near, "scope", "left").select("path", "stage", "line", "user")
+
+
+def runs_as_root(instructions: DataFrame) -> DataFrame:
+    """dockerfile-runs-as-root: files whose last stage has no user but root."""
+    final = users(instructions).groupBy("path").agg(F.max_by(F.struct("line", "user"), "stage").alias("x")).select("path", "x.*")
+    root = F.coalesce(F.regexp_extract("user", r"^([^:\s]+)", 1).isin("root", "0"), F.lit(True))
+    return final.filter(root).select(F.col("path").alias("norm_path"), "line", F.lit(1).alias("col"), F.lit("dockerfile-runs-as-root").alias("diagnostic"))

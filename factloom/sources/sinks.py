@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.scalars import purl
+from factloom.functions.scalars import purl, version_parts
 
 
 def escaped(x: Column, attribute: bool = False) -> Column:
@@ -22,8 +22,21 @@ def annotations(findings: DataFrame) -> DataFrame:
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """The rule descriptors: of each rule, what its first finding says."""
-    w = Window.partitionBy("diagnostic").orderBy("pos")
-    return findings.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(F.to_json(F.struct(F.col("diagnostic").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription"))).alias("value"))
+    first = findings.groupBy("diagnostic").agg(F.min_by("title", "pos").alias("title"))
+    return first.select(F.to_json(F.struct(F.col("diagnostic").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription"))).alias("value"))
+
+
+def json_findings(findings: DataFrame) -> DataFrame:
+    """One JSON object per finding."""
+    place = [c for c in ("id", "norm_path", "line", "col", "diagnostic", "title", "category", "severity", "message") if c in findings.columns]
+    return findings.select(F.to_json(F.struct(*place)).alias("value"))
+
+
+def json_report(findings: DataFrame, health: DataFrame) -> DataFrame:
+    """The head of a JSON report: one row with the counts by severity and category and the score; findings follow as rows."""
+    count = lambda c, v: F.count_if(F.col(c) == v)
+    totals = findings.agg(F.count("*").alias("findings"), count("severity", "error").alias("errors"), count("severity", "warn").alias("warnings"), F.countDistinct("norm_path").alias("files"))
+    return totals.crossJoin(F.broadcast(health.limit(1))).select(F.to_json(F.struct("findings", "errors", "warnings", "files", "score", "label")).alias("value"))
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
@@ -47,5 +60,5 @@ def sbom_components(components: DataFrame) -> DataFrame:
 def locked_components(declared: DataFrame, locked: DataFrame) -> DataFrame:
     """Declared dependencies with the locked version, else the declared range; a runtime use beats a development one."""
     one = declared.groupBy("name").agg(F.min_by("range", "dev").alias("range"), F.min("dev").alias("dev"))
-    v = locked.groupBy("name").agg(F.max("version").alias("locked"))
+    v = locked.groupBy("name").agg(F.max_by("version", version_parts(F.col("version"))).alias("locked"))
     return one.join(v, "name", "left").select("name", F.coalesce("locked", "range").alias("version"), "dev")

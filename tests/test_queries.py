@@ -1,17 +1,22 @@
 """Every query with SQL against DuckDB on sf0.001."""
 
 import sys
+from pathlib import Path
 
 import duckdb
 import pytest
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, str(Path(__file__).parents[1]))
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+MAY_BE_EMPTY: set[str] = set()
+"""Queries that find nothing in so small a table."""
+
+
 def plain(v):
     if v is None or v != v:
         return "-"
@@ -35,6 +40,7 @@ def test_query(spark, con, name):
     got = sorted(tuple(plain(r[c]) for c in sorted(names)) for r in df.collect())
     want = sorted(tuple(plain(v) for _, v in sorted(zip(names, r, strict=True))) for r in cur.fetchall())
     assert got == want
+    assert got or name in MAY_BE_EMPTY
 
 
 def test_entry(spark):
