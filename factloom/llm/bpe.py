@@ -25,7 +25,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -156,7 +156,7 @@ class Suffixes:
 
 
 class Automaton:
-    """Encodes the bytes of words, decodes ids. `compiled` may come from elsewhere (a broadcast); the rest is made here."""
+    """Encodes the bytes of words, decodes ids. `compiled` may come from elsewhere (a broadcast); tables are made on first use."""
 
     def __init__(self, path: str, compiled: Compiled | None = None):
         with open(path, encoding="utf-8") as f:
@@ -167,17 +167,33 @@ class Automaton:
         raw = {s: bytes(letters[c] for c in s) for s in model["vocab"] if s not in self.special}
         self.label: dict[int, bytes] = {model["vocab"][s]: b for s, b in raw.items()}
         self.tokens = max([*model["vocab"].values(), *self.special.values()]) + 1
-        if compiled is None:
-            ident = {b: i for i, b in self.label.items()}
-            merges = []
-            for m in model["merges"]:
-                x, y = m.split(" ") if isinstance(m, str) else m
-                merges.append((ident[raw[x]], ident[raw[y]], ident[raw[x] + raw[y]]))
-            compiled = Compiled(self.tokens, [i for i, b in self.label.items() if len(b) == 1], merges)
-        self.compiled = compiled
-        self.suffixes = Suffixes(self.label, self.tokens)
+        self.path = path
+        if compiled is not None:
+            self.compiled = compiled
         self.label |= {i: s.encode() for s, i in self.special.items()}
 
+    @property
+    def plain(self) -> dict[int, bytes]:
+        """Labels of the tokens that are not special."""
+        special = set(self.special.values())
+        return {i: b for i, b in self.label.items() if i not in special}
+
+    @cached_property
+    def compiled(self) -> Compiled:
+        with open(self.path, encoding="utf-8") as f:
+            pairs = json.load(f)["model"]["merges"]
+        letters = byte_letters()
+        ident = {b: i for i, b in self.plain.items()}
+        merges = []
+        for m in pairs:
+            a, b = (bytes(letters[c] for c in x) for x in (m.split(" ") if isinstance(m, str) else m))
+            merges.append((ident[a], ident[b], ident[a + b]))
+        return Compiled(self.tokens, [i for i, b in self.plain.items() if len(b) == 1], merges)
+
+    @cached_property
+    def suffixes(self) -> Suffixes:
+        return Suffixes(self.plain, self.tokens)
+
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one path that spells the word, by single steps."""
         state, last = [0], [0]

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import worker_memory
+from .textops import give_back, worker_memory
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +51,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BATCH_ROWS, BATCH_SIZE = 2000, "8m"
+BATCH_ROWS, BATCH_SIZE = 1000, "4m"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -98,6 +98,7 @@ def pieces(batches, text: str = "text", limit: int = 1 << 20):
             j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + limit, "right")))
             yield b.slice(i, j - i)
             i = j
+    give_back()
 
 
 def fold(df: DataFrame, every: int) -> DataFrame:

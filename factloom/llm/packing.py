@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Encoder, automaton, blocks
 from .common import pieces, small_batches, stored, table
-from .textops import mix, ranges
+from .textops import give_back, mix, ranges
 
 WINDOW = 1024
 SHARD, SHARD_IDS = 512, 1 << 19
@@ -50,7 +50,7 @@ def _encoder(path: str) -> Encoder:
     import tiktoken
 
     a = automaton(path)
-    ranks = {b: i for i, b in a.label.items() if i not in a.special.values()}
+    ranks = {b: i for i, b in a.plain.items()}
     core = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def many(words):
@@ -77,6 +77,8 @@ def encoded(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFrame:
                 ids = [np.append(flat[first[k] : first[k + 1]], end).astype(kind).tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(ids, pa.binary()), pa.nulls(j - i, pa.binary())], ["doc_id", "ids", "df"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([df.astype(np.int64).tobytes()], pa.binary())], ["doc_id", "ids", "df"])
+        own.reset()  # the worker outlives the task
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, df binary")
 

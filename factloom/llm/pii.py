@@ -38,6 +38,8 @@ FILTER_BITS = 1 << 25
 FREQUENT = 1 << 18
 PAIR_ROWS = 1 << 18
 """Pairs of a record batch."""
+HELD = 1 << 19
+"""Counts that a task sums before it sends them on."""
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: No match begins inside a run of digits whose beginning failed, so starts there need not be tried.
@@ -173,12 +175,33 @@ def entities(text: str, own) -> list[int]:
 def counted(docs: DataFrame) -> DataFrame:
     """(is_term, key, n): the number of documents of each term and each entity."""
 
+    def summed(keys: list[np.ndarray], counts: list[np.ndarray]):
+        key, code = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(code, np.concatenate(counts), len(key)).astype(np.int64)
+
     def run(batches):
+        held: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
+
+        def flush():
+            for is_term, (keys, counts) in held.items():
+                if keys:
+                    key, n = summed(keys, counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), is_term)), pa.array(key), pa.array(n)], ["is_term", "key", "n"])
+                keys.clear()
+                counts.clear()
+
+        size = 0
         for b in pieces(batches):
             base = rows_with_base(b)
-            term, n = np.unique(all_terms(b, base)[0], return_counts=True)
-            entity, m = np.unique(np.array([e for x in base.values() for e in entities(*x)], np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n) + len(m)) < len(n)), pa.array(np.concatenate([term, entity])), pa.array(np.concatenate([n, m]).astype(np.int64))], ["is_term", "key", "n"])
+            for is_term, key in ((True, all_terms(b, base)[0]), (False, np.array([e for x in base.values() for e in entities(*x)], np.int64))):
+                key, n = np.unique(key, return_counts=True)
+                held[is_term][0].append(key)
+                held[is_term][1].append(n)
+                size += len(key)
+            if size > HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
 
     return docs.select("text").mapInArrow(run, "is_term boolean, key long, n long").groupBy("is_term", "key").agg(F.sum("n").alias("n"))
 

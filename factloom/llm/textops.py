@@ -17,14 +17,21 @@ import pyarrow as pa
 
 @lru_cache(maxsize=1)
 def worker_memory() -> None:
-    """Set-up of a Python worker, called by tasks and not on the driver: glibc keeps up to 32 MB of freed arrays and gives
+    """Set-up of a Python worker, called by tasks and not on the driver: glibc keeps up to 16 MB of freed arrays and gives
     larger ones back to the system, so that neither page faults nor the memory of past tasks pile up."""
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL("libc.so.6")
-        for what, value in ((-3, 9 << 20), (-1, 32 << 20), (-8, 2)):  # map threshold, trim threshold, arenas
+        for what, value in ((-3, 9 << 20), (-1, 16 << 20), (-8, 2)):  # map threshold, trim threshold, arenas
             libc.mallopt(what, value)
 
 
+def give_back() -> None:
+    """At a task's end: what it freed goes back to the system, for the worker may wait long for its next task."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 U64 = np.uint64
 WORD_SEP = np.zeros(256, bool)
 WORD_SEP[[0x20, 9, 10, 11, 12, 13]] = True
