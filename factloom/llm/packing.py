@@ -39,7 +39,7 @@ SHARD, SHARD_IDS = 512, 1 << 19
 """Items of a shard, and ids of their documents; the first that is reached ends it."""
 TELLING = 16
 """Terms of the highest weight among which an item's place is drawn (by hash, so like items draw alike)."""
-PLACE = 4096
+PLACE = 1024
 """A term that more documents hold than this deals them to more than one place."""
 K1, B = 1.2, 0.75
 
