@@ -22,8 +22,8 @@ def multiset_anti(left: DataFrame, right: DataFrame, by: list[str], pos: str = "
     counts = spread.groupBy(*by, "_s").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     beyond = before.join(n, by, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(F.col("_b") + F.col("_c") > F.col("_n"))
-    ranked = spread.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(pos)))
-    return ranked.join(beyond, [*by, "_s"]).filter(F.col("_r") + F.col("_b") > F.col("_n")).select(*left.columns)
+    ranked = spread.join(beyond, [*by, "_s"]).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(pos)))
+    return ranked.filter(F.col("_r") + F.col("_b") > F.col("_n")).select(*left.columns)
 
 
 def delta(base: DataFrame, current: DataFrame, key: str = "key", file: str = "file", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
