@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import parallelism, small_batches
 from .textops import NO_DOC, Texts, worker_memory
 
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 3 << 19
 BUCKET_KEYS = 1 << 20
 WIRE = "_b long, bucket long, n long, body binary"
 NAMES = ["_b", "bucket", "n", "body"]
