@@ -43,5 +43,20 @@ def test_query(spark, con, name):
     assert got or name in MAY_BE_EMPTY
 
 
+@pytest.mark.parametrize("name", ["q02_health_score", "q17_text_scan", "q44_scan"])
+def test_scan_of_odd_letters(spark, tmp_path, name):
+    """Letters and digits of other scripts are no word characters, as in the SQL."""
+    texts = ["ÉABCD EF", "ABCD EFÉ", "x ßABCD EF\u0301 y", "٠WXYZ AB٠", "ABCD EF", "éABCD EFg", "_ABCD EF", "中ABCD EF中\nABCD\u00a0EF", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = c.execute(entry.oracle_sql()[name])
+    names = sorted(x[0] for x in cur.description)
+    order = [[x[0] for x in cur.description].index(n) for n in names]
+    got = sorted(tuple(plain(r[n]) for n in names) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    assert got == sorted(tuple(plain(r[i]) for i in order) for r in cur.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
