@@ -58,11 +58,46 @@ def owners(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
 
 def blame_ages(findings: DataFrame, blame: DataFrame, commits: DataFrame, now: Column) -> DataFrame:
     """Findings with sha, author and age in days; null where a line has no commit. blame: (path, line, sha)."""
+    return _aged(findings.join(blame, ["path", "line"], "left"), commits, now)
+
+
+def _aged(blamed: DataFrame, commits: DataFrame, now: Column) -> DataFrame:
     zero = "0" * 40
-    j = findings.join(blame, ["path", "line"], "left").join(commits, "sha", "left")
+    j = blamed.join(commits, "sha", "left")
     return j.withColumn("age", F.when((F.col("sha") != zero) & F.col("committed_at").isNotNull(), age_days(now, F.col("committed_at"))))
 
 
+def blame_of_pairs(files: DataFrame, lines: DataFrame, key: str, blame: DataFrame) -> DataFrame:
+    """(path, line, sha) of those pairs of files (path, key) and lines (line, key) with one key that have blame.
+
+    It begins with the blame, so no pair without any is made.
+    """
+    return blame.join(files, "path").join(lines, ["line", key]).select("path", "line", "sha")
+
+
+SPREAD, LINES_A_ROW = 16, 1 << 14
+
+
+def blame_ages_of_pairs(files: DataFrame, lines: DataFrame, key: str, blame: DataFrame, commits: DataFrame, now: Column) -> DataFrame:
+    """blame_ages, as (path, line, sha, age), of all pairs of files (path, key) and lines (line, key) with one key.
+
+    The pairs grow with the square of both and are not moved: those that have blame are found from the blame, and a file
+    brings their lines to where its other pairs are made.
+    """
+    from factloom.operators.graph import cut
+
+    hit = cut(blame_of_pairs(files, lines, key, blame))
+    known = hit.groupBy("path").agg(F.collect_set("line").alias("_known"))
+    # lines travel as arrays, several to a key, and each array goes to SPREAD shares of the files: keys may be few
+    parts = 1 + lines.count() // LINES_A_ROW
+    share = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_share")
+    packed = lines.groupBy(key, F.pmod(F.xxhash64("line"), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct("line")).alias("_lines")).select(key, "_lines", share)
+    dealt = files.join(known, "path", "left").withColumn("_share", F.pmod(F.hash("path"), F.lit(SPREAD)))
+    rest = dealt.join(packed, [key, "_share"]).select("path", "_known", F.inline("_lines")).filter(~F.coalesce(F.array_contains("_known", F.col("line")), F.lit(False)))
+    aged = _aged(hit, commits, now).select("path", "line", "sha", "age")
+    return aged.union(rest.select("path", "line", *(F.lit(None).cast(aged.schema[c].dataType).alias(c) for c in ("sha", "age"))))
+
+
 def age_summary(aged: DataFrame, group: str, recent: int = 30) -> DataFrame:
     """Lower median, oldest and recent counts of ages."""
     return aged.groupBy(group).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY age)").cast("long").alias("median_age"), F.max("age").alias("oldest"), F.count_if(F.col("age") <= recent).alias("recent"), F.count_if(F.col("age").isNull()).alias("undated"))
@@ -75,7 +110,11 @@ def ai_signal(body: Column) -> Column:
 
 def changed_by(findings: DataFrame, blame: DataFrame, shas: DataFrame) -> DataFrame:
     """Findings on lines whose commit is one of shas."""
-    return findings.join(blame.join(shas.select("sha").distinct(), "sha"), ["path", "line"])
+    return findings.join(changed_lines(blame, shas), ["path", "line"])
+
+
+def changed_lines(blame: DataFrame, shas: DataFrame) -> DataFrame:
+    return blame.join(shas.select("sha").distinct(), "sha")
 
 
 def positional_pairs(lines: DataFrame) -> DataFrame:

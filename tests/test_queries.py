@@ -1,13 +1,16 @@
 """Every query with SQL against DuckDB on sf0.001."""
 
+import re
 import sys
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 import __spark_entry__ as entry
+from factloom.operators import history
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,5 +61,26 @@ def test_scan_of_odd_letters(spark, tmp_path, name):
     assert got == sorted(tuple(plain(r[i]) for i in order) for r in cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["q55_blame", "q56_changed_by"])
+def test_no_join_of_parts_with_suppliers_alone(spark, name):
+    """Pairs of files and lines are not made before blame is joined to them."""
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner, \(p_size#\d+ = s_nationkey#\d+\)", plan)
+
+
+def test_blame_of_odd_pairs(spark):
+    """Repeated files and lines, null places, lines without a commit: as the plain join of all pairs."""
+    files = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (3, 8), (None, 7), (4, None), (5, 9)], "path long, key int")
+    lines = spark.createDataFrame([(10, 7), (10, 7), (11, 7), (None, 7), (12, 8), (13, 8), (14, None)], "line long, key int")
+    blame = spark.createDataFrame([(1, 10, "a"), (2, 11, "b"), (3, 13, "0" * 40), (3, 99, "a"), (9, 10, "a")], "path long, line long, sha string")
+    commits = spark.createDataFrame([("a", "2004-12-31 00:00:00"), ("c", "2004-01-01 00:00:00")], "sha string, at string").select("sha", F.col("at").cast("timestamp").alias("committed_at"))
+    now = F.lit("2005-01-01 00:00:00").cast("timestamp")
+    plain_join = history.blame_ages(files.join(lines, "key").select("path", "line"), blame, commits, now).select("path", "line", "sha", "age")
+    got = history.blame_ages_of_pairs(files, lines, "key", blame, commits, now)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain_join.collect()))
+    want = history.changed_by(files.join(lines, "key").select("path", "line"), blame, commits).select("path", "line")
+    assert sorted(map(str, history.changed_lines(history.blame_of_pairs(files, lines, "key", blame), commits).select("path", "line").collect())) == sorted(map(str, want.collect()))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
