@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 import __spark_entry__ as entry
-from factloom.operators import history
+from factloom.operators import graph, history, summaries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -82,5 +82,16 @@ def test_blame_of_odd_pairs(spark):
     assert sorted(map(str, history.changed_lines(history.blame_of_pairs(files, lines, "key", blame), commits).select("path", "line").collect())) == sorted(map(str, want.collect()))
 
 
+def test_stars_of_complete_modules_go(spark, monkeypatch):
+    """Modules that offer all names take no further part, and what is found stays the same."""
+    left = []
+    monkeypatch.setattr(graph, "cut", lambda df, f=graph.cut: (left.append(df.count()) if df.columns == ["src", "dst"] else None, f(df))[1])
+    exports = spark.createDataFrame([(1, "a"), (2, "b")], "path long, name string")
+    stars = spark.createDataFrame([(3, 1), (3, 2), (4, 3), (3, 4), (5, 4), (5, 1), (1, 5), (6, 7)], "src long, dst long")
+    got = sorted(tuple(r) for r in summaries.through_reexports(exports, stars).collect())
+    assert got == [(1, "a", 1), (1, "b", 2), (2, "b", 2), (3, "a", 1), (3, "b", 2), (4, "a", 1), (4, "b", 2), (5, "a", 1), (5, "b", 2)]
+    assert left[0] == 8 and left[-1] == 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
