@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parents[1]))
 import __spark_entry__ as entry
 from factloom.operators import graph, history, summaries
+from factloom.plans import rule_cases
+from factloom.sources import javascript
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -82,6 +84,15 @@ def test_blame_of_odd_pairs(spark):
     assert sorted(map(str, history.changed_lines(history.blame_of_pairs(files, lines, "key", blame), commits).select("path", "line").collect())) == sorted(map(str, want.collect()))
 
 
+def test_equal_texts_are_parsed_once(spark, monkeypatch):
+    """q42 parses a case once, however many orders it is dealt to."""
+    seen = []
+    monkeypatch.setattr(javascript, "facts", lambda texts, f=javascript.facts: (seen.append(texts), f(texts))[1])
+    entry.queries()["q42_code_rules"](spark, DATA)
+    orders = spark.read.parquet(f"{DATA}/orders.parquet")
+    assert seen[0].count() == orders.select(F.col("o_orderkey") % (2 * len(rule_cases.CASES))).distinct().count() < orders.count()
+
+
 def test_stars_of_complete_modules_go(spark, monkeypatch):
     """Modules that offer all names take no further part, and what is found stays the same."""
     left = []
