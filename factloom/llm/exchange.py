@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parallelism, small_batches
-from .textops import NO_DOC, Texts, worker_memory
+from .textops import NO_DOC, Texts, give_back, worker_memory
 
 BATCH_BYTES = 3 << 19
 BUCKET_KEYS = 1 << 20
@@ -86,16 +86,40 @@ def bits_of(answers: pa.Table) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(answers.column("body"), answers.column("n").to_pylist(), strict=True)]).astype(bool)
 
 
+def freeing(work: Callable) -> Callable:
+    """work on a group's rows, after which the worker gives back what it freed: Arrow's pool and glibc would keep it."""
+
+    def run(rows):
+        try:
+            return work(rows)
+        finally:
+            give_back()
+
+    return run
+
+
+def freeing_two(work: Callable) -> Callable:
+    """As freeing, for two groups."""
+
+    def run(rows, bits):
+        try:
+            return work(rows, bits)
+        finally:
+            give_back()
+
+    return run
+
+
 def ask(batches: DataFrame, make: Callable, judge: Callable, buckets: int) -> DataFrame:
     """make(Batch) -> table of WIRE; judge(rows of one bucket) -> table of WIRE."""
-    sent = batches.groupBy("_b").applyInArrow(lambda rows: make(Batch(rows)), WIRE)
-    return sent.groupBy("bucket").applyInArrow(judge, WIRE)
+    sent = batches.groupBy("_b").applyInArrow(freeing(lambda rows: make(Batch(rows))), WIRE)
+    return sent.groupBy("bucket").applyInArrow(freeing(judge), WIRE)
 
 
 def ask_again(batches: DataFrame, answers: DataFrame, make: Callable, judge: Callable) -> DataFrame:
     """As ask; make(Batch, bits) also sees an earlier question's answers."""
-    sent = batches.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(lambda rows, bits: make(Batch(rows), bits_of(bits)) if rows.num_rows else send(0, np.zeros(0, np.int64), []), WIRE)
-    return sent.groupBy("bucket").applyInArrow(judge, WIRE)
+    sent = batches.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(freeing_two(lambda rows, bits: make(Batch(rows), bits_of(bits)) if rows.num_rows else send(0, np.zeros(0, np.int64), [])), WIRE)
+    return sent.groupBy("bucket").applyInArrow(freeing(judge), WIRE)
 
 
 def finish(batches: DataFrame, answers: DataFrame, make: Callable, schema: str) -> DataFrame:
@@ -109,4 +133,4 @@ def finish(batches: DataFrame, answers: DataFrame, make: Callable, schema: str)
             return pa.table([pa.array([], f.type) for f in wanted], names=wanted.names)
         return make(Batch(rows), bits_of(bits))
 
-    return batches.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(run, schema)
+    return batches.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(freeing_two(run), schema)

@@ -580,3 +580,15 @@ def test_empty_tables(spark, run):
 
 def test_empty_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+def test_exchange_gives_memory_back(monkeypatch):
+    """After every group, also one that fails, the worker's freed memory goes back."""
+    from factloom.llm import exchange
+
+    calls = []
+    monkeypatch.setattr(exchange, "give_back", lambda: calls.append(1))
+    assert exchange.freeing(lambda rows: rows + 1)(1) == 2 and exchange.freeing_two(lambda a, b: a + b)(1, 2) == 3
+    with pytest.raises(ZeroDivisionError):
+        exchange.freeing(lambda rows: 1 / rows)(0)
+    assert len(calls) == 3
